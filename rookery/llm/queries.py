@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import secrets, shards, url_filter
+from rookery.llm import bpe, html_text, quality, secrets, shards, url_filter
 from rookery.llm.url_filter import Rule
 
 
@@ -66,10 +67,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.corpus_model(docs))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op5_bpe": op5_bpe, "op8_quality_classifier": op8_quality_classifier, "op9_html_extraction": op9_html_extraction, "op10_secret_scan": op10_secret_scan}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL}
