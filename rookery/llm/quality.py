@@ -7,12 +7,13 @@ where the class prior is estimated from the labelled rows that may be learned
 from.  Labels 0 serve for that estimate only.
 
 A document's features are the square roots of the shares of its adjacent
-byte-class pairs, over its whole text, plus its length on a log scale; they are
-counted for whole Arrow columns at a time.  Training rows are a bounded sample
+byte-class pairs, over its whole text, counted for whole Arrow columns at a
+time.  Their distance from the mean counts by ``pairs / (pairs + SHRINK)``, so a
+short text, of which little is known, is judged like the average one.  Training rows are a bounded sample
 (``most_positive``, ``most_unlabelled``), drawn by a hash of doc_id, so only that
 many feature vectors reach the driver; the weights that go back are a few KB.
 
-Cases: null and empty texts have no pairs and are scored by bias and length.
+Cases: null and empty texts have no pairs and get the average text's score.
 Without any trusted positive nothing can be rejected: every score is 1.
 Repeated rows get equal scores; an empty table gives no rows; extra columns are
 left out (``score``) or kept (``keep_good``).
@@ -38,7 +39,8 @@ for _i, _members in enumerate(CLASSES):
     _CLASS[list(_members.encode())] = _i
 _CLASS[0x80:0xC0] = C - 1
 _CLASS[0xC0:] = C - 2
-WIDTH = C * C + 1
+WIDTH = C * C + 1  # the last is the weight of the text's own pairs
+SHRINK = 100.0
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -55,28 +57,29 @@ def features(texts: pa.Array) -> np.ndarray:
             pair = pair[row[1:] == row[:-1]]
             counts = np.bincount(pair, minlength=(b - a) * C * C).reshape(b - a, C * C)
             out[a:b, :-1] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
-        out[a:b, -1] = np.log1p(length) / 16
+        out[a:b, -1] = length / (length + SHRINK)
     return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """score = logistic(x . weights + bias)."""
+    """score = logistic(bias + own * (x - centre) . weights)."""
 
     weights: np.ndarray
+    centre: np.ndarray
     bias: float
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip(x @ self.weights + self.bias, -500, 500)
+        z = np.clip(x[:, -1] * ((x[:, :-1] - self.centre) @ self.weights) + self.bias, -500, 500)
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 600, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Full-batch Adam on the non-negative risk; where it turns negative the step goes back up."""
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 600, rate: float = 0.02, decay: float = 0.8, seed: int = 7) -> Model:
+    """Full-batch Adam on the non-negative risk plus decay / n; where the risk turns negative the step goes back up."""
+    both = np.concatenate([positive, unlabelled])[:, :-1].astype(np.float64)
     centre, spread = both.mean(0), both.std(0) + 1e-2
-    p, u = (positive - centre) / spread, (unlabelled - centre) / spread
+    p, u = (x[:, -1:] * (x[:, :-1] - centre) / spread for x in (positive, unlabelled))
     rng = np.random.default_rng(seed)
     w, bias = rng.normal(0, 0.01, both.shape[1]), 0.0
     m = v = np.zeros(both.shape[1] + 1)
@@ -86,12 +89,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: in
         # Slopes of the loss of being called negative; those of being called positive are their opposites.
         gp, gu = sp * (1 - sp) / len(p), su * (1 - su) / max(len(u), 1)
         up, uu = (-prior * gp - prior * gp, gu) if negative >= 0 else (prior * gp, -gu)
-        grad = np.append(p.T @ up + u.T @ uu + decay * w, up.sum() + uu.sum())
+        grad = np.append(p.T @ up + u.T @ uu + decay / len(p) * w, up.sum() + uu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    w = w / spread
-    return Model(w.astype(np.float32), float(bias - centre @ w), prior)
+    return Model((w / spread).astype(np.float32), centre.astype(np.float32), float(bias), prior)
 
 
 def held_out(doc_id: Column) -> Column:
