@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, html_text, quality, secrets, shards, url_filter
+from rookery.llm import bpe, html_text, minhash, quality, secrets, shards, url_filter
 from rookery.llm.url_filter import Rule
 
 
@@ -67,6 +67,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -85,5 +89,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.corpus_model(docs))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op5_bpe": op5_bpe, "op8_quality_classifier": op8_quality_classifier, "op9_html_extraction": op9_html_extraction, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op4_minhash_dedup": op4_minhash_dedup, "op5_bpe": op5_bpe, "op8_quality_classifier": op8_quality_classifier, "op9_html_extraction": op9_html_extraction, "op10_secret_scan": op10_secret_scan}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL}
