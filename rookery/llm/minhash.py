@@ -219,8 +219,9 @@ def near_duplicates(documents: DataFrame, *, k: int = 4, percent: int = 80, broa
                 ends = F.broadcast(ends)
             wanted = materialize(texts.join(ends, "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
             found = materialize(confirm(likely, wanted, k, percent), "minhash-edges")
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges)
+            if not found.isEmpty():
+                edges = found if edges is None else edges.unionByName(found)
+                labels = components(edges)
         # Buckets whose members lie in several components propose further stars.
         named = members if labels is None else members.join(labels, "id", "left")
         named = named.withColumn("component", F.coalesce("component", "id") if labels is not None else F.col("id"))

@@ -117,12 +117,13 @@ def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.nd
     if len(few):
         start = np.cumsum(count) - count
         extra = np.empty(len(few), np.uint64)
-        for i, d in enumerate(few):
-            seq = h[start[d] : start[d] + count[d]]
-            v = np.uint64(count[d])
-            for j, x in enumerate(seq):
-                v = v + x * _COMBINE[j]
-            extra[i] = v
+        for c in range(1, k):
+            own = count[few] == c
+            first = start[few[own]]
+            v = np.full(len(first), c, np.uint64)
+            for j in range(c):
+                v = v + h[first + j] * _COMBINE[j]
+            extra[own] = v
         s, r = np.concatenate([s, mix(extra)]), np.concatenate([r, few])
         order = np.argsort(r, kind="stable")
         s, r = s[order], r[order]
