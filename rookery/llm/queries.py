@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, html_text, language_model, minhash, quality, secrets, shards, url_filter
+from rookery.llm import bpe, decontaminate, html_text, language_model, minhash, quality, secrets, shards, url_filter
 from rookery.llm.url_filter import Rule
 
 
@@ -75,6 +75,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
@@ -93,5 +97,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.corpus_model(docs))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op4_minhash_dedup": op4_minhash_dedup, "op5_bpe": op5_bpe, "op7_lm_scoring": op7_lm_scoring, "op8_quality_classifier": op8_quality_classifier, "op9_html_extraction": op9_html_extraction, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op4_minhash_dedup": op4_minhash_dedup, "op5_bpe": op5_bpe, "op6_decontamination": op6_decontamination, "op7_lm_scoring": op7_lm_scoring, "op8_quality_classifier": op8_quality_classifier, "op9_html_extraction": op9_html_extraction, "op10_secret_scan": op10_secret_scan}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL}
