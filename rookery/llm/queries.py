@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, decontaminate, html_text, language_model, minhash, quality, secrets, shards, url_filter
+from rookery.llm import bpe, decontaminate, html_text, language_model, minhash, neighbours, quality, secrets, shards, url_filter
 from rookery.llm.url_filter import Rule
 
 
@@ -63,6 +63,11 @@ FROM named n LEFT JOIN fits f ON f.page_id = n.page_id AND f.r = 1 LEFT JOIN lis
 """
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -97,5 +102,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.corpus_model(docs))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op4_minhash_dedup": op4_minhash_dedup, "op5_bpe": op5_bpe, "op6_decontamination": op6_decontamination, "op7_lm_scoring": op7_lm_scoring, "op8_quality_classifier": op8_quality_classifier, "op9_html_extraction": op9_html_extraction, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_sharding": op3_sharding, "op4_minhash_dedup": op4_minhash_dedup, "op5_bpe": op5_bpe, "op6_decontamination": op6_decontamination, "op7_lm_scoring": op7_lm_scoring, "op8_quality_classifier": op8_quality_classifier, "op9_html_extraction": op9_html_extraction, "op10_secret_scan": op10_secret_scan}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL}
