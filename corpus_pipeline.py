@@ -1,15 +1,62 @@
-"""A corpus pipeline of the operators in rookery.llm."""
+"""A corpus pipeline of the operators in rookery.llm: from documents to token ids.
+
+Every stage takes (spark, docs, sf_dir), works on all that the one before it
+kept, and decides: rejected documents go, one of each group of near duplicates
+stays, documents with benchmark passages go, secrets are blotted out of the text,
+and what is left is encoded.  All stages but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from rookery.llm import bpe, decontaminate, minhash, quality, secrets
+from rookery.llm.queries import table
+from rookery.plans.durable import materialize
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group at similarity 0.8 or more over five-word shingles."""
+    return minhash.keep_one(docs, k=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets blotted out."""
+    return secrets.redact(docs, secrets.corpus_model(docs))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of every document."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("bpe_encoding", bpe_encoding),
+]
+
+#: Neither training nor tokenizing can be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages in turn over the documents of ``sf_dir``; each result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
