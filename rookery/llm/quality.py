@@ -77,19 +77,22 @@ class Model:
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 600, rate: float = 0.02, decay: float = 0.8, seed: int = 7) -> Model:
     """Full-batch Adam on the non-negative risk plus decay / n; where the risk turns negative the step goes back up."""
-    both = np.concatenate([positive, unlabelled])[:, :-1].astype(np.float64)
-    centre, spread = both.mean(0), both.std(0) + 1e-2
+    n = len(positive) + len(unlabelled)
+    sums = sum(x[:, :-1].sum(0, dtype=np.float64) for x in (positive, unlabelled))
+    squares = sum(np.einsum("ij,ij->j", x[:, :-1], x[:, :-1], dtype=np.float64) for x in (positive, unlabelled))
+    centre = (sums / n).astype(np.float32)
+    spread = (np.sqrt(np.maximum(squares / n - centre.astype(np.float64) ** 2, 0)) + 1e-2).astype(np.float32)
     p, u = (x[:, -1:] * (x[:, :-1] - centre) / spread for x in (positive, unlabelled))
     rng = np.random.default_rng(seed)
-    w, bias = rng.normal(0, 0.01, both.shape[1]), 0.0
-    m = v = np.zeros(both.shape[1] + 1)
+    w, bias = rng.normal(0, 0.01, len(centre)), 0.0
+    m = v = np.zeros(len(centre) + 1)
     for t in range(1, steps + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w + bias, -60, 60))) for x in (p, u))
+        sp, su = (1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + bias, -60, 60))) for x in (p, u))
         negative = su.mean() - prior * sp.mean()
         # Slopes of the loss of being called negative; those of being called positive are their opposites.
         gp, gu = sp * (1 - sp) / len(p), su * (1 - su) / max(len(u), 1)
         up, uu = (-prior * gp - prior * gp, gu) if negative >= 0 else (prior * gp, -gu)
-        grad = np.append(p.T @ up + u.T @ uu + decay / len(p) * w, up.sum() + uu.sum())
+        grad = np.append(p.T @ up.astype(np.float32) + u.T @ uu.astype(np.float32) + decay / len(p) * w, up.sum() + uu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
