@@ -59,7 +59,9 @@ INSIDE = frozenset("article main".split())
 OWN_HEADER = frozenset(["header", "hgroup"])
 
 # Default counts (inside, outside) on top of which labelled pages count.
-PRIOR = {"word": (60.0, 20.0), "word:a": (10.0, 10.0), "tag": (2.0, 6.0), "tag:a": (1.0, 5.0), "tag:li": (2.0, 6.0), "tag:p": (20.0, 12.0), "tag:b": (6.0, 5.0), "tag:i": (6.0, 5.0), "tag:em": (6.0, 5.0), "tag:strong": (6.0, 5.0), "tag:br": (8.0, 6.0), "tag:span": (4.0, 5.0)}
+PRIOR = {"word": (60.0, 20.0), "word:a": (10.0, 10.0), "word:out": (1.0, 60.0), "tag": (2.0, 6.0), "tag:in": (60.0, 20.0), "tag:a": (1.0, 5.0), "tag:li": (6.0, 5.0), "tag:p": (20.0, 12.0), "tag:b": (6.0, 5.0), "tag:i": (6.0, 5.0), "tag:em": (6.0, 5.0), "tag:strong": (6.0, 5.0), "tag:br": (8.0, 6.0), "tag:span": (4.0, 5.0)}
+PRIOR |= {f"tag:{t}": (6.0, 5.0) for t in "h1 h2 h3 h4 h5 h6 ul ol dl dt dd blockquote pre code table tbody tr td th figure figcaption".split()}
+MARKED = re.compile(r"<(?:article|main)\b", re.I)
 
 
 def _names_itself_else(attributes: str) -> bool:
@@ -73,11 +75,14 @@ def _names_itself_else(attributes: str) -> bool:
 def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(class, text, block, labelled) of each piece of a page; a tag's text is empty.
 
+    Where the page marks its article, pieces in and out of it are classes of
+    their own: tags inside cost next to nothing, words outside gain next to nothing.
     ``block`` says that a block begins or ends here; ``labelled`` that the piece
     lies within article or main.
     """
     skip, depth = "", 0  # the element being left out, and how many of its name are open
     inside = links = 0
+    marked = MARKED.search(page) is not None
     for m in TOKEN.finditer(page):
         name = m.group(3)
         if name is None:
@@ -88,7 +93,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 else:
                     continue
             if not skip:
-                yield "word:a" if links else "word", text, False, inside > 0
+                yield "word:out" if marked and not inside else "word:a" if links and not marked else "word", text, False, inside > 0
             continue
         name, closing, attributes = name.lower(), bool(m.group(2)), m.group(4)
         if skip:
@@ -119,17 +124,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             links = max(0, links + (-1 if closing else 1))
         elif name in BLOCKS:
             links = 0
-        yield "tag:" + name, " " if name in ("br", "wbr") and name == "br" else "", name in BLOCKS, inside > 0
+        yield "tag:in" if inside else "tag:" + name, " " if name == "br" else "", name in BLOCKS, inside > 0
 
 
 def weights(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """Log odds by class: words 0.05 to 3, tags -6 to -0.05."""
+    """Log odds by class: words 0.01 to 3, tags -6 to -0.01."""
     out = {}
     for kind in {*counts, *PRIOR}:
         a, b = PRIOR.get(kind) or PRIOR[kind.split(":")[0]]
         x, y = counts.get(kind, (0.0, 0.0))
         odds = math.log((a + x) / (b + y))
-        out[kind] = min(3.0, max(0.05, odds)) if kind.startswith("word") else max(-6.0, min(-0.05, odds - 0.5))
+        out[kind] = min(3.0, max(0.01, odds)) if kind.startswith("word") else max(-6.0, min(-0.01, odds - 0.5))
     return out
 
 
@@ -138,12 +143,10 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
     pieces = list(tokens(page or ""))
     best = (0.0, 0, 0)
     total, start = 0.0, 0
-    word, link, tag = weight["word"], weight["word:a"], weight["tag"]
+    tag = weight["tag"]
     for i, (kind, text, _, _) in enumerate(pieces):
-        if kind == "word":
-            total += word * len(text.split())
-        elif kind == "word:a":
-            total += link * len(text.split())
+        if kind.startswith("word"):
+            total += weight[kind] * len(text.split())
         else:
             total += weight.get(kind, tag)
         if total <= 0:
