@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from rookery.functions import text as T
 from rookery.operators import tfidf
+from rookery.plans.durable import materialize
 
 # Address words too common to be keys.
 KEY_ADDR_STOP = "road rd street st nagar colony near opp opposite floor no plot block sector phase main cross lane ave avenue dr drive suite ste unit apt building".split()
@@ -162,14 +163,23 @@ def field_vectors(records: DataFrame, field: str, cfg: BlockConfig = BlockConfig
     return tfidf.weigh(asked, vocab), tfidf.weigh(docs, vocab)
 
 
-def tfidf_pass(records: DataFrame, field: str, tag: str, cfg: BlockConfig = BlockConfig()) -> DataFrame:
+Vectors = dict[str, tuple[DataFrame, DataFrame]]
+
+
+def all_vectors(records: DataFrame, cfg: BlockConfig = BlockConfig(), per_source: bool = True) -> Vectors:
+    """The vectors of both fields, written once for all their readers."""
+    made = {f: field_vectors(records, f, cfg, per_source) for f in ("name", "address")}
+    return {f: (materialize(q, f"{f}-queries"), materialize(d, f"{f}-documents")) for f, (q, d) in made.items()}
+
+
+def tfidf_pass(records: DataFrame, field: str, tag: str, cfg: BlockConfig = BlockConfig(), vectors: Vectors | None = None) -> DataFrame:
     """(s1_id, cand_id, source, score, pass): the nearest records of each source by one field."""
-    q, d = field_vectors(records, field, cfg)
+    q, d = vectors[field] if vectors else field_vectors(records, field, cfg)
     hits = tfidf.cosine_search(q, d, cfg.name_top_k if field == "name" else cfg.addr_top_k)
     return hits.select(F.col("q").alias("s1_id"), F.col("d").alias("cand_id"), F.substring("d", 1, 2).alias("source"), "score", F.lit(tag).alias("pass"))
 
 
-def union_rescored(records: DataFrame, hits: DataFrame, cfg: BlockConfig = BlockConfig()) -> DataFrame:
+def union_rescored(records: DataFrame, hits: DataFrame, cfg: BlockConfig = BlockConfig(), vectors: Vectors | None = None) -> DataFrame:
     """(s1_id, cand_id, source, passes, score, rank): union of passes with provenance, rescored, trimmed.
 
     score = max(w_n cos_n + w_a cos_a, w_n best raw score, w_a cos_a).
@@ -177,8 +187,9 @@ def union_rescored(records: DataFrame, hits: DataFrame, cfg: BlockConfig = Block
     pairs = hits.groupBy("s1_id", "cand_id", "source").agg(F.array_join(F.array_sort(F.collect_set("pass")), "+").alias("passes"), F.max("score").alias("raw_max"))
     pairs = pairs.join(records.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id")
     pairs = pairs.select(F.concat_ws("|", "country", "source").alias("part"), F.col("s1_id").alias("q"), F.col("cand_id").alias("d"), "source", "passes", "raw_max")
+    vectors = vectors or all_vectors(records, cfg)
     for field, out in (("name", "cos_name"), ("address", "cos_addr")):
-        q, d = field_vectors(records, field, cfg)
+        q, d = vectors[field]
         pairs = tfidf.cosine_pairs(pairs, q, d, out)
     wn, wa = F.lit(cfg.weight_name), F.lit(cfg.weight_addr)
     score = F.round(F.greatest(wn * F.col("cos_name") + wa * F.col("cos_addr"), F.col("raw_max") * wn, F.col("cos_addr") * wa), 6)
@@ -193,9 +204,10 @@ def _trim(pairs: DataFrame, k: int) -> DataFrame:
 
 def key_block_rescored(records: DataFrame, cfg: BlockConfig = BlockConfig()) -> DataFrame:
     """(s1_id, cand_id, source, score, rank): key candidates, rescored by both cosines over the country, best first."""
-    pairs = key_candidates(records, cfg).select(F.col("country").alias("part"), F.col("s1_id").alias("q"), F.col("cand_id").alias("d"))
+    pairs = materialize(key_candidates(records, cfg), "key-pairs").select(F.col("country").alias("part"), F.col("s1_id").alias("q"), F.col("cand_id").alias("d"))
+    vectors = all_vectors(records, cfg, per_source=False)
     for field, out in (("name", "cos_name"), ("address", "cos_addr")):
-        q, d = field_vectors(records, field, cfg, per_source=False)
+        q, d = vectors[field]
         pairs = tfidf.cosine_pairs(pairs, q, d, out)
     score = F.round(cfg.weight_name * F.col("cos_name") + cfg.weight_addr * F.col("cos_addr"), 6)
     return _trim(pairs.select(F.col("q").alias("s1_id"), F.col("d").alias("cand_id"), F.substring("d", 1, 2).alias("source"), score.alias("score")), cfg.final_top_k)
@@ -203,8 +215,9 @@ def key_block_rescored(records: DataFrame, cfg: BlockConfig = BlockConfig()) ->
 
 def union_block(records: DataFrame, cfg: BlockConfig = BlockConfig()) -> DataFrame:
     """All passes, united and rescored."""
-    hits = exact_core(records).unionByName(tfidf_pass(records, "name", "P2", cfg)).unionByName(tfidf_pass(records, "address", "P3", cfg))
-    return union_rescored(records, hits, cfg)
+    vectors = all_vectors(records, cfg)
+    hits = exact_core(records).unionByName(tfidf_pass(records, "name", "P2", cfg, vectors)).unionByName(tfidf_pass(records, "address", "P3", cfg, vectors))
+    return union_rescored(records, materialize(hits, "hits"), cfg, vectors)
 
 
 def rare_token_block(records: DataFrame, truth: DataFrame, max_df: int = 120, top: int = 40) -> DataFrame:

@@ -16,6 +16,7 @@ from rookery.functions import similarity as S
 from rookery.functions import text as T
 from rookery.operators import assign, blocking, diagnostics, evaluate, features, model, profile, sampling, windows
 from rookery.plans import sqltext as Q
+from rookery.plans.durable import materialize
 from rookery.sources import records as R
 from rookery.sources import sinks
 
@@ -43,7 +44,8 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.prepare(records(spark, d), unicode=False)
+    """Per-record text is derived and written once, not once per join."""
+    return materialize(blocking.prepare(records(spark, d), unicode=False), "records")
 
 
 def entities(recs: DataFrame) -> DataFrame:
@@ -56,7 +58,8 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, n: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles with ``n`` decimals and without a negative zero."""
+    return df.select(*((F.round(c, n) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 # ------------------------------------------------------------------ profiling
@@ -437,15 +440,15 @@ def feature_matrix_77(spark, d):
 
 @query(f"""WITH {Q.CLAIMS}, w AS (SELECT *, row_number() OVER o AS r, max(prob) OVER g AS mx, avg(prob) OVER g AS mean, stddev_pop(prob) OVER g AS sd, count(*) OVER g AS n, lead(prob) OVER o AS nxt, nth_value(prob, 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
   FROM claims WINDOW g AS (PARTITION BY s1_id), o AS (PARTITION BY s1_id ORDER BY prob DESC, cand_id))
-SELECT s1_id, cand_id, round(prob, 6) AS prob, CAST(r AS INT) AS rank_in_group, CAST(r = 1 AS INT) AS is_top1, round(prob - second, 6) AS score_margin_to_2nd, round(CASE WHEN mx > 0 THEN prob / mx END, 6) AS score_ratio_to_max, round(prob - mean, 6) AS score_minus_group_mean,
-  round(CASE WHEN sd > 1e-12 THEN (prob - mean) / sd END, 6) AS z_score_in_group, n AS group_size, round(prob - nxt, 6) AS score_gap_below, round((r - 1) / n, 6) AS frac_above FROM w""")
+SELECT s1_id, cand_id, round(prob, 6) AS prob, CAST(r AS INT) AS rank_in_group, CAST(r = 1 AS INT) AS is_top1, round(prob - second, 6) + 0::DOUBLE AS score_margin_to_2nd, round(CASE WHEN mx > 0 THEN prob / mx END, 6) AS score_ratio_to_max, round(prob - mean, 6) + 0::DOUBLE AS score_minus_group_mean,
+  round(CASE WHEN sd > 1e-12 THEN (prob - mean) / sd END, 6) + 0::DOUBLE AS z_score_in_group, n AS group_size, round(prob - nxt, 6) + 0::DOUBLE AS score_gap_below, round((r - 1) / n, 6) AS frac_above FROM w""")
 def group_features(spark, d):
     return rounded(windows.group_features(claims(spark, d), score="prob"))
 
 
 @query(f"""WITH {Q.CLAIMS}, w AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) AS mine, row_number() OVER o AS back, count(*) OVER g AS n, max(prob) OVER g AS mx, nth_value(prob, 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
   FROM claims WINDOW g AS (PARTITION BY cand_id), o AS (PARTITION BY cand_id ORDER BY prob DESC, s1_id))
-SELECT s1_id, cand_id, round(prob, 6) AS prob, CAST(back AS INT) AS rank_reverse, CAST(mine = 1 AND back = 1 AS INT) AS is_mutual_best, n AS n_competitors_for_cand, round(mx, 6) AS cand_best_score, round(prob - second, 6) AS cand_score_margin FROM w""")
+SELECT s1_id, cand_id, round(prob, 6) AS prob, CAST(back AS INT) AS rank_reverse, CAST(mine = 1 AND back = 1 AS INT) AS is_mutual_best, n AS n_competitors_for_cand, round(mx, 6) AS cand_best_score, round(prob - second, 6) + 0::DOUBLE AS cand_score_margin FROM w""")
 def reciprocal_features(spark, d):
     return rounded(windows.reciprocal_features(claims(spark, d), score="prob"))
 
@@ -478,7 +481,8 @@ def expected_f05_assign(spark, d):
 def _predictions(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Key-block candidates with their score as probability, the truth, all S1."""
     p = prepared(spark, d)
-    return blocking.key_block_rescored(p).select("s1_id", "cand_id", F.col("score").alias("prob")), R.truth_view(p), entities(p)
+    best = materialize(blocking.key_block_rescored(p).select("s1_id", "cand_id", F.col("score").alias("prob")), "predictions")
+    return best, R.truth_view(p), entities(p)
 
 
 _SWEEP = f"""{_RESCORED}, {Q.TRUTH}, both_ AS (
@@ -700,11 +704,8 @@ def referenced_records(spark, d):
 
 def _trained(spark, d):
     recs = records(spark, d)
-    p = blocking.prepare(recs, unicode=False)
-    pairs = blocking.key_block_rescored(p)
+    pairs = materialize(blocking.key_block_rescored(prepared(spark, d)), "pairs")
     x = evaluate.labelled(features.featurize(pairs, recs, unicode=False), R.truth_view(recs))
-    from rookery.plans.durable import materialize
-
     x = materialize(x, "pair-features")
     return model.score(model.train(x, features.COLUMNS, trees=20), x, features.COLUMNS), entities(recs)
 
