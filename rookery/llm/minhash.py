@@ -9,11 +9,15 @@ cannot, or all but surely do not, reach the threshold; the rest are confirmed on
 the full shingle sets.  Confirmed edges give components by alternating large and
 small stars.
 
-A star alone would lose a link between two members that are both unlike the
-hub.  So buckets whose members still lie in several components propose further
-stars, twice as many hubs each round, between a hub and later members outside
-its component, until no such pair is left.  Pairs inside a component are never
-emitted.
+The first hub of a bucket is the member that meets most others over all its
+buckets, so that in a family of copies the original, which is alike to all, is
+hub everywhere.  A star alone would lose a link between two members that are
+both unlike the hub.  So buckets whose members still lie in several components
+propose further stars, each from another hub to the members outside its
+component, until a round of ``FRESH`` hubs in each of them has confirmed nothing new.  A
+round emits at most ``FRESH`` edges per member, never all pairs of a bucket.  A link
+between different texts is lost only if all hubs of the buckets that the two
+share (9 on average at similarity 0.8, each with new hubs every round) miss both.
 
 Cases: null texts and texts without words have no shingles, link with nothing
 and are their own component.  Rows of equal doc_id are one document to the
@@ -30,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rookery.llm.textarrays import column_bytes, mix, pieces, shingles, words
 from rookery.plans.durable import materialize
@@ -44,8 +47,10 @@ SKETCH_AGREE = 208
 _RNG = np.random.default_rng(1237)
 _ORDER = np.argsort(_RNG.random((BINS, BINS)), axis=1).astype(np.int16)
 _RANK = np.argsort(_ORDER, axis=1).astype(np.int16)
+_MASKS = [int(x) for x in _RNG.integers(0, 2**62, 16)]
 _ODD = _RNG.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 _TRIES = 24
+FRESH = 2
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -167,7 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large and small stars alternate until the edges stay as they are, in about
     log n rounds; a hub's edges meet as partial minima, never in one list.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     seen = None
     while True:
         # Large star: neighbours that are larger than u get the smallest id around u.
@@ -185,55 +190,64 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def _confirmed(likely: DataFrame, texts: DataFrame, k: int, percent: int, broadcast_ids: int) -> DataFrame | None:
+    """The pairs (a, b) that are links, None if none is; only texts of these pairs are read."""
+    n = likely.count()
+    if not n:
+        return None
+    ends = likely.select(F.explode(F.array("a", "b")).alias("id"))
+    ends = F.broadcast(ends) if 2 * n <= broadcast_ids else ends.distinct()
+    wanted = materialize(texts.join(ends, "id", "left_semi"), "minhash-texts")
+    found = materialize(confirm(likely, wanted, k, percent), "minhash-edges")
+    return None if found.isEmpty() else found
+
+
 def near_duplicates(documents: DataFrame, *, k: int = 4, percent: int = 80, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; see the module."""
     rows = materialize(signed(documents, k), "minhash")
     nodes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"))
-    nodes = materialize(rows.join(nodes, (rows.set_id == nodes.set_id) & (rows.doc_id == nodes.id)).select("id", "n_shingles", *(f"s{i}" for i in range(SKETCH_LONGS)), "bands").dropDuplicates(["id"]), "minhash-nodes")
-    facts = nodes.drop("bands")
+    facts = ["n_shingles", *(f"s{i}" for i in range(SKETCH_LONGS))]
+    nodes = rows.join(nodes, (rows.set_id == nodes.set_id) & (rows.doc_id == nodes.id)).select("id", F.struct(*facts).alias("facts"), "bands").dropDuplicates(["id"])
+    nodes = materialize(nodes, "minhash-nodes")
+    banded = nodes.select("id", F.explode("bands").alias("bucket"))
 
     # Members of the buckets that have any two; singletons end here.
-    banded = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialize(banded.join(shared, "bucket"), "minhash-buckets")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(banded.join(shared, "bucket").join(nodes.select("id", "facts"), "id"), "minhash-buckets")
     texts = documents.select(F.col("doc_id").alias("id"), "text")
-
-    edges = None  # confirmed so far
-    tried = None  # proposed so far
-    labels = None
-    hubs = 1
-    open_ = members.groupBy("bucket").agg(F.min("id").alias("hub")).join(members, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["id"])
+
+    def proposed(stars: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """Distinct likely pairs of stars (hub, hub_facts, id, facts) that were not proposed before."""
+        pairs = stars.where(_alike("hub_facts", "facts", percent)).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+        return materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+
+    degree = members.groupBy("id").agg((-F.sum(F.col("n") - 1)).alias("meets"))
+    first = members.join(degree, "id").groupBy("bucket").agg(F.min(F.struct("meets", "id", "facts")).alias("h"))
+    stars = first.select("bucket", F.col("h.id").alias("hub"), F.col("h.facts").alias("hub_facts")).join(members, "bucket").where("id <> hub")
+    edges = tried = labels = None
+    round_ = 0
     while True:
-        pairs = open_.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "minhash-pairs")
+        pairs = proposed(stars, tried)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        likely = pairs.join(facts.select(F.col("id").alias("a"), F.struct("n_shingles", *(f"s{i}" for i in range(SKETCH_LONGS))).alias("x")), "a")
-        likely = likely.join(facts.select(F.col("id").alias("b"), F.struct("n_shingles", *(f"s{i}" for i in range(SKETCH_LONGS))).alias("y")), "b")
-        likely = materialize(likely.where(_alike("x", "y", percent)).select("a", "b"), "minhash-likely")
-        ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        n_ends = ends.count()
-        if n_ends:
-            if n_ends <= broadcast_ids:
-                ends = F.broadcast(ends)
-            wanted = materialize(texts.join(ends, "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
-            found = materialize(confirm(likely, wanted, k, percent), "minhash-edges")
-            if not found.isEmpty():
-                edges = found if edges is None else edges.unionByName(found)
-                labels = components(edges)
-        # Buckets whose members lie in several components propose further stars.
-        named = members if labels is None else members.join(labels, "id", "left")
-        named = named.withColumn("component", F.coalesce("component", "id") if labels is not None else F.col("id"))
-        several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where(f"x <> y and n > {hubs}").select("bucket")
-        left = materialize(named.join(several, "bucket"), "minhash-open")
-        if left.isEmpty():
+        found = _confirmed(pairs, texts, k, percent, broadcast_ids)
+        if found is not None:
+            edges = found if edges is None else edges.unionByName(found)
+            labels = components(edges)
+        elif round_:
             break
-        order = Window.partitionBy("bucket").orderBy("id")
-        ranked = left.withColumn("r", F.row_number().over(order))
-        hub = ranked.where(F.col("r").between(hubs + 1, 3 * hubs)).select("bucket", F.col("id").alias("a"), F.col("component").alias("c"))
-        open_ = left.join(hub, "bucket").where("id > a and component <> c").select("a", F.col("id").alias("b"))
-        hubs *= 3
+        # Buckets whose members lie in several components get further hubs.
+        named = members.select("bucket", "id", "facts")
+        if labels is None:
+            named = named.withColumn("component", F.col("id"))
+        else:
+            named = named.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        masks = [F.lit(_MASKS[(FRESH * round_ + j) % len(_MASKS)]) for j in range(FRESH)]
+        hubs = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), *(F.min(F.struct(F.col("id").cast("long").bitwiseXOR(m).alias("m"), "id", "component", "facts")).alias(f"h{j}") for j, m in enumerate(masks)))
+        hubs = hubs.where("x <> y").select("bucket", F.explode(F.array(*(f"h{j}" for j in range(FRESH)))).alias("h"))
+        stars = hubs.join(named, "bucket").where("component <> h.component").select(F.col("h.id").alias("hub"), F.col("h.facts").alias("hub_facts"), "id", "facts")
+        round_ += 1
 
     reps = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"))
     if labels is not None:

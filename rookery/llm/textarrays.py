@@ -4,7 +4,7 @@ A word is a maximal run of bytes other than space and TAB..CR; A-Z are
 lower-cased first.  A null text is an empty text.  Words are identified by a
 64-bit hash of their bytes (random byte values times powers of an odd
 constant, then a finaliser).  Memory is a small multiple of the batch's bytes,
-so callers feed ``pieces`` of a few MB.
+so callers feed ``pieces`` of about a MB.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.cumprod(np.full(1024, _STEP, dtype=np.uint64))]
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
