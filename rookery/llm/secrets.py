@@ -105,8 +105,10 @@ def identifier_samples(spark: SparkSession, n: int) -> DataFrame:
 
 
 def document_samples(documents: DataFrame, sample_documents: int) -> DataFrame:
-    """Words of 8 letters or more of the documents with the smallest hash of doc_id; labelled 0."""
-    some = documents.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").orderBy("h", "doc_id").limit(sample_documents)
+    """Words of 8 letters or more of about ``sample_documents`` documents, chosen by a hash of doc_id; labelled 0."""
+    n = documents.select("doc_id").count()
+    share = min(1.0, sample_documents / max(n, 1))
+    some = documents.select("doc_id", "text").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
     bare = F.coalesce("text", F.lit(""))
     for _, pattern, _, _ in KINDS:
         bare = F.regexp_replace(bare, pattern, " ")

@@ -117,13 +117,12 @@ def search(groups: DataFrame, n_shards: int, items: int = 1 << 16) -> tuple[int,
         todo = todo or _inexact(view, n_shards, does)
         if not todo or width >= KEY_HEX:
             break
-        outer, width = width, min(KEY_HEX, width + max(1, ((items // len(todo)).bit_length() - 1) // 4))
+        width = min(KEY_HEX, width + max(1, ((items // len(todo)).bit_length() - 1) // 4))
         by_width = {len(p): [q for q in todo if len(q) == len(p)] for p in todo}
         fresh = [r for w, ps in by_width.items() for r in histogram(width, ps, w)]
         gone = set(todo)
         view = Items([r for r in view.rows if r[0] not in gone] + fresh)
         fails, does = view.bounds(n_shards, max(least, fails + 1), does)
-        del outer
     ends = view.cuts(n_shards, does)
     starts = []
     for e in ends[:-1]:
