@@ -12,12 +12,13 @@ small stars.
 The first hub of a bucket is the member that meets most others over all its
 buckets, so that in a family of copies the original, which is alike to all, is
 hub everywhere.  A star alone would lose a link between two members that are
-both unlike the hub.  So buckets whose members still lie in several components
-propose further stars, each from another hub to the members outside its
-component, until a round of ``FRESH`` hubs in each of them has confirmed nothing new.  A
-round emits at most ``FRESH`` edges per member, never all pairs of a bucket.  A link
-between different texts is lost only if all hubs of the buckets that the two
-share (9 on average at similarity 0.8, each with new hubs every round) miss both.
+both unlike the hub.  So for ``ROUNDS`` rounds a bucket whose members that were not yet
+hub still lie in several components proposes two further stars, from the ends of
+an order of its own, to the members outside the hub's component.  A hub has then met
+its whole bucket and leaves it.  What is left after that goes to an exact
+join: members of buckets still open are paired by the rarest of their shingles, of which
+two sets at the threshold always share one (prefix filter), so every pair that
+shares a bucket is either in one component or was compared.
 
 Cases: null texts and texts without words have no shingles, link with nothing
 and are their own component.  Rows of equal doc_id are one document to the
@@ -47,10 +48,10 @@ SKETCH_AGREE = 208
 _RNG = np.random.default_rng(1237)
 _ORDER = np.argsort(_RNG.random((BINS, BINS)), axis=1).astype(np.int16)
 _RANK = np.argsort(_ORDER, axis=1).astype(np.int16)
-_MASKS = [int(x) for x in _RNG.integers(0, 2**62, 16)]
 _ODD = _RNG.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 _TRIES = 24
-FRESH = 2
+#: Rounds of two further hubs in each open bucket before the exact join of what is left.
+ROUNDS = 2
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -202,6 +203,35 @@ def _confirmed(likely: DataFrame, texts: DataFrame, k: int, percent: int, broadc
     return None if found.isEmpty() else found
 
 
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (id, component, facts) across components, among them every link.
+
+    Sets at the threshold share at least ``percent / (100 + percent)`` of their summed sizes, so in one
+    order of all shingles, rare ones first, they share one of the first that each has beyond that.
+    """
+    kind = nodes.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id")
+            for a, n, row, s in shingle_sets(batch.column("text"), k):
+                yield pa.RecordBatch.from_arrays([ids.slice(a, n).take(pa.array(row)), pa.array(s.view(np.int64))], ["id", "h"])
+
+    wanted = texts.join(nodes.select("id"), "id", "left_semi").select("id", "text")
+    each = materialize(wanted.mapInArrow(run, f"id {kind}, h long"), "minhash-shingles")
+    # A shingle of one set alone joins nothing; it only takes a place before the others.
+    often = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    first = each.join(often, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("hs")).join(nodes, "id")
+    size = F.col("facts.n_shingles")
+    posts = first.select("id", "component", "facts", size.alias("size"), (size - F.size("hs") + 1).alias("before"), F.posexplode("hs").alias("i", "x"))
+    posts = posts.select("id", "component", "facts", "size", F.col("x.h").alias("h"), (F.col("before") + F.col("i")).alias("place"))
+    posts = materialize(posts.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1), "minhash-prefixes")
+    x, y = posts.alias("x"), posts.alias("y")
+    shared = F.ceil((F.col("x.size") + F.col("y.size")) * percent / (100 + percent))
+    both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.place") <= F.col("x.size") - shared + 1) & (F.col("y.place") <= F.col("y.size") - shared + 1) & _alike("x.facts", "y.facts", percent))
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, *, k: int = 4, percent: int = 80, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; see the module."""
     rows = materialize(signed(documents, k), "minhash")
@@ -218,36 +248,47 @@ def near_duplicates(documents: DataFrame, *, k: int = 4, percent: int = 80, broa
     if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["id"])
 
-    def proposed(stars: DataFrame, tried: DataFrame | None) -> DataFrame:
-        """Distinct likely pairs of stars (hub, hub_facts, id, facts) that were not proposed before."""
-        pairs = stars.where(_alike("hub_facts", "facts", percent)).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-        return materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+    def likely(stars: DataFrame) -> DataFrame:
+        """Distinct pairs of stars (hub, hub_facts, id, facts) that may be links."""
+        return stars.where(_alike("hub_facts", "facts", percent)).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
 
-    degree = members.groupBy("id").agg((-F.sum(F.col("n") - 1)).alias("meets"))
-    first = members.join(degree, "id").groupBy("bucket").agg(F.min(F.struct("meets", "id", "facts")).alias("h"))
-    stars = first.select("bucket", F.col("h.id").alias("hub"), F.col("h.facts").alias("hub_facts")).join(members, "bucket").where("id <> hub")
     edges = tried = labels = None
-    round_ = 0
-    while True:
-        pairs = proposed(stars, tried)
+
+    def link(pairs: DataFrame) -> None:
+        """Confirms the pairs that were not proposed before and joins what they link."""
+        nonlocal edges, tried, labels
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = _confirmed(pairs, texts, k, percent, broadcast_ids)
         if found is not None:
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges)
-        elif round_:
-            break
-        # Buckets whose members lie in several components get further hubs.
-        named = members.select("bucket", "id", "facts")
+
+    def named(some: DataFrame) -> DataFrame:
         if labels is None:
-            named = named.withColumn("component", F.col("id"))
-        else:
-            named = named.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        masks = [F.lit(_MASKS[(FRESH * round_ + j) % len(_MASKS)]) for j in range(FRESH)]
-        hubs = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), *(F.min(F.struct(F.col("id").cast("long").bitwiseXOR(m).alias("m"), "id", "component", "facts")).alias(f"h{j}") for j, m in enumerate(masks)))
-        hubs = hubs.where("x <> y").select("bucket", F.explode(F.array(*(f"h{j}" for j in range(FRESH)))).alias("h"))
-        stars = hubs.join(named, "bucket").where("component <> h.component").select(F.col("h.id").alias("hub"), F.col("h.facts").alias("hub_facts"), "id", "facts")
-        round_ += 1
+            return some.withColumn("component", F.col("id"))
+        return some.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    degree = members.groupBy("id").agg((-F.sum(F.col("n") - 1)).alias("meets"))
+    first = members.join(degree, "id").groupBy("bucket").agg(F.min(F.struct("meets", "id", "facts")).alias("h"))
+    stars = first.select("bucket", F.col("h.id").alias("hub"), F.col("h.facts").alias("hub_facts")).join(members, "bucket").where("id <> hub")
+    # Members that are yet to meet others of their bucket, each with its place in the bucket's own order.
+    left = materialize(stars.select("bucket", "hub", "hub_facts", "id", "facts", F.xxhash64("id", "bucket").alias("place")), "minhash-left")
+    link(likely(left))
+    left = left.select("bucket", "id", "facts", "place")
+    for round_ in range(ROUNDS + 1):
+        own = named(left)
+        at = F.struct("place", "id", "component", "facts")
+        hubs = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(at).alias("h0"), F.max(at).alias("h1")).where("x <> y").drop("x", "y")
+        own = materialize(hubs.join(own, "bucket"), "minhash-open")
+        if own.isEmpty():
+            break
+        if round_ == ROUNDS:
+            link(prefix_pairs(own.select("id", "component", "facts").dropDuplicates(["id"]), texts, k, percent))
+            break
+        stars = own.select("id", "component", "facts", F.explode(F.array("h0", "h1")).alias("h")).where("component <> h.component")
+        link(likely(stars.select(F.col("h.id").alias("hub"), F.col("h.facts").alias("hub_facts"), "id", "facts")))
+        left = own.where("id <> h0.id AND id <> h1.id").select("bucket", "id", "facts", "place")
 
     reps = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"))
     if labels is not None:

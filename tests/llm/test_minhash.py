@@ -76,6 +76,16 @@ def test_members_unlike_the_hub_still_find_each_other(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_links_deep_in_large_buckets_are_found(spark):
+    """Many texts share most of a passage and are no links; a few hidden pairs among them are."""
+    base = [f"w{i}" for i in range(112)]
+    rows = [(2 * i + j, " ".join([*base, f"o{i}", *(f"e{i}_{j}_{x}" for x in range(14))])) for i in range(100) for j in range(2)]
+    want = brute(rows, 1)
+    assert sum(c != i for i, (_, c) in want.items()) == 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, k=1).collect()} == {i: c for i, (_, c) in want.items()}
+
+
 def test_components(spark):
     edges = [(9, 4), (4, 7), (7, 1), (20, 21), (22, 21), (5, 5), *((100 + i, 101 + i) for i in range(30))]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
