@@ -43,8 +43,10 @@ BANDS, ROWS = 56, 8
 BINS = 512
 assert BANDS * ROWS <= BINS
 SKETCH_LONGS = 4
-#: Bits of 256 that must agree: a pair at similarity 0.8 falls short with probability below 1e-5.
+#: Bits of 256 that must agree: a tenth of them differs at similarity 0.8, each column by itself.
 SKETCH_AGREE = 208
+#: Sets smaller than this skip the sketch: a few shingles repeat over many columns.
+SKETCH_FROM = 64
 _RNG = np.random.default_rng(1237)
 _ORDER = np.argsort(_RNG.random((BINS, BINS)), axis=1).astype(np.int16)
 _RANK = np.argsort(_ORDER, axis=1).astype(np.int16)
@@ -104,7 +106,8 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketch(sig: np.ndarray) -> np.ndarray:
-    bits = (mix(sig[:, : 64 * SKETCH_LONGS] ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(1)).astype(np.uint8)
+    column = mix(np.arange(1, 64 * SKETCH_LONGS + 1, dtype=np.uint64))
+    bits = (mix(sig[:, : 64 * SKETCH_LONGS] ^ column) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
 
 
@@ -135,7 +138,7 @@ def _alike(a: str, b: str, percent: int) -> Column:
     """What a pair at the threshold must show before its sets are read."""
     agree = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
     x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (64 * SKETCH_LONGS - agree >= SKETCH_AGREE)
+    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & ((F.least(x, y) < SKETCH_FROM) | (64 * SKETCH_LONGS - agree >= SKETCH_AGREE))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from rookery.llm.minhash import components, keep_one, near_duplicates
+from rookery.llm.minhash import _sketch, components, keep_one, near_duplicates, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,6 +87,19 @@ def test_links_deep_in_large_buckets_are_found(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs, k=1).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+@pytest.mark.parametrize("shared, more", [(4, (0, 1)), (8, (0, 2)), (8, (1, 1)), (16, (2, 2)), (240, (30, 30))])
+def test_sketch_bits_are_independent(shared, more):
+    """Pairs at the threshold, of any size, agree in enough bits."""
+    rng = np.random.default_rng(3)
+    n = 500
+    sketches = []
+    both = rng.integers(0, 2**64, (n, shared), dtype=np.uint64)
+    for extra in more:
+        s = np.sort(np.hstack([both, rng.integers(0, 2**64, (n, extra), dtype=np.uint64)]), axis=1)
+        sketches.append(_sketch(signatures(np.repeat(np.arange(n), s.shape[1]), s.ravel(), n)))
+    assert (np.bitwise_count(sketches[0] ^ sketches[1]).sum(1) <= 256 - 208).all()
+
+
 def test_components(spark):
     edges = [(9, 4), (4, 7), (7, 1), (20, 21), (22, 21), (5, 5), *((100 + i, 101 + i) for i in range(30))]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
