@@ -4,9 +4,9 @@ N-gram counts are quantised on a log scale; an n-gram of level q is in the filte
 once for each level 1 to q, so its level is read back by probing levels until
 one is missing, and its count is the middle of that level.  The filter is cut
 into segments by the n-gram's hash, each sized by what it holds and built by the
-task that counts the segment, and is broadcast; its size is bounded by
-``max_bits``, within which a segment keeps the n-grams of at least the smallest
-count that fits.
+task that counts the segment, so every n-gram counts at every size.  Up to ``broadcast_bits``
+the filters are broadcast.  Beyond that they stay where they are: chunks of documents send
+their distinct n-grams to the segments and get the levels back, which gives the same scores.
 
 Counting: each task counts its own words and word pairs and sends one packed
 row per segment, so a word that fills the corpus costs a row per task.
@@ -27,10 +27,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,12 +113,12 @@ def _places(h: np.ndarray, level: np.ndarray, bits: np.ndarray) -> Iterator[np.n
         at = at + step
 
 
-def build_segment(h: np.ndarray, count: np.ndarray, most_bits: int) -> np.ndarray:
-    """The packed filter of one segment's n-grams."""
+def build_segment(h: np.ndarray, count: np.ndarray, most_bits: int | None = None) -> np.ndarray:
+    """The packed filter of one segment's n-grams; of the most frequent that fit, if ``most_bits`` is given."""
     q = levels(count)
     order = np.argsort(-count, kind="stable")
     cost = np.cumsum(q[order]) * BITS_PER_ENTRY
-    if len(cost) and cost[-1] > most_bits:  # keep whole counts, the largest first
+    if most_bits is not None and len(cost) and cost[-1] > most_bits:  # keep whole counts, the largest first
         kept = int(np.searchsorted(cost, most_bits, "right"))
         least = count[order[kept]] + 1
         keep = count >= least
@@ -171,6 +172,17 @@ class LogFrequencyFilter:
         return out
 
 
+class Levels:
+    """Levels that a chunk was sent, in place of a filter."""
+
+    def __init__(self, h: np.ndarray, level: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.of = h[order], level[order].astype(np.int64)
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        return self.of[np.searchsorted(self.h, h)] if len(h) else np.zeros(0, np.int64)
+
+
 @dataclass
 class Model:
     """What workers need: exact counts of frequent words, filters for the rest."""
@@ -179,8 +191,8 @@ class Model:
     v: int
     head: np.ndarray
     head_count: np.ndarray
-    pairs: LogFrequencyFilter
-    words: LogFrequencyFilter
+    pairs: LogFrequencyFilter | Levels | None
+    words: LogFrequencyFilter | Levels | None
 
     @property
     def starts(self) -> int:
@@ -251,12 +263,14 @@ def _counting(shift: int):
     return run
 
 
-def train(documents: DataFrame, *, head_words: int = 1 << 20, max_bits: int = 1 << 29, per_segment: int = 1 << 18) -> tuple[Model, DataFrame, int]:
-    """(model, counted words as packed rows, the smallest count of a head word)."""
+def train(documents: DataFrame, *, head_words: int = 1 << 20, broadcast_bits: int = 1 << 29, per_segment: int = 1 << 18) -> tuple[Model, DataFrame, int, DataFrame, int]:
+    """(model, counted words as packed rows, the smallest count of a head word, filters, shift of their segments).
+
+    The model is without filters where these have more than ``broadcast_bits`` bits.
+    """
     docs = documents.where(~held_out(F.col("doc_id"))).select("text")
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shift = min(14, max(4, math.ceil(math.log2(max(n_bytes / 6, 1) / per_segment + 1))))
-    most = max_bits >> shift
 
     def reduce(table: pa.Table) -> pa.Table:
         kind, segment = table["kind"][0].as_py(), table["segment"][0].as_py()
@@ -269,7 +283,7 @@ def train(documents: DataFrame, *, head_words: int = 1 << 20, max_bits: int = 1
             "segment": pa.array([segment], pa.int32()),
             "distinct": pa.array([len(h)], pa.int64()),
             "total": pa.array([int(n.sum())], pa.int64()),
-            "bits": pa.array([build_segment(h, n, most // (8 if words_too else 1)).tobytes()], pa.binary()),
+            "bits": pa.array([None if words_too else build_segment(h, n).tobytes()], pa.binary()),
             "hashes": pa.array([h.tobytes() if words_too else None], pa.binary()),
             "counts": pa.array([n.tobytes() if words_too else None], pa.binary()),
             # How many words have a count of at least 2**i: from this the head is chosen.
@@ -295,51 +309,116 @@ def train(documents: DataFrame, *, head_words: int = 1 << 20, max_bits: int = 1
     h = np.frombuffer(b"".join(got["hashes"].to_pylist()), np.uint64)
     c = np.frombuffer(b"".join(got["counts"].to_pylist()), np.int64)
     order = np.argsort(h)
-    filters = {}
-    for kind in (WORD, PAIR):
-        table = counted.where(f"kind = {kind}").select("segment", "bits").toArrow()
-        filters[kind] = LogFrequencyFilter(dict(zip(table["segment"].to_pylist(), table["bits"].to_pylist(), strict=True)), shift)
-        del table
-    model = Model(n, v, h[order], c[order], filters[PAIR], filters[WORD])
-    return model, words_only.select("hashes", "counts"), least
+
+    def rare_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for segment, h, c in zip(batch.column("segment"), batch.column("hashes"), batch.column("counts"), strict=True):
+                h, c = np.frombuffer(h.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int64)
+                if (c < least).any():  # head words are held exactly
+                    bits = build_segment(h[c < least], c[c < least]).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([WORD], pa.int32()), pa.array([segment.as_py()], pa.int32()), pa.array([bits], pa.binary())], ["kind", "segment", "bits"])
+
+    rare = materialize(words_only.select("segment", "hashes", "counts").mapInArrow(rare_bits, "kind int, segment int, bits binary"), "language-rare")
+    filters = counted.where(f"kind = {PAIR}").select("kind", "segment", "bits").unionByName(rare)
+    held: dict[int, LogFrequencyFilter | None] = {WORD: None, PAIR: None}
+    if 8 * filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0] <= broadcast_bits:
+        for kind in held:
+            table = filters.where(f"kind = {kind}").select("segment", "bits").toArrow()
+            held[kind] = LogFrequencyFilter(dict(zip(table["segment"].to_pylist(), table["bits"].to_pylist(), strict=True)), shift)
+            del table
+    model = Model(n, v, h[order], c[order], held[PAIR], held[WORD])
+    return model, words_only.select("hashes", "counts"), least, filters, shift
+
+
+def _joined(documents: DataFrame, sent, filters: DataFrame, shift: int, scored, schema: str) -> DataFrame:
+    """``scored`` of chunks of documents, with the levels that the segments of the filters gave back."""
+    kind_of_id = documents.schema["doc_id"].dataType.simpleString()
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a, b in pieces(column_bytes(batch.column("text"))[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, chunk)), *(batch.column(c).slice(a, b - a) for c in ("doc_id", "text"))], ["chunk", "doc_id", "text"])
+                chunk += 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)] if len(chunk) else np.zeros(1, np.int64)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                raw, offsets = column_bytes(batch.column("text").slice(lo, hi - lo))
+                for a, b in pieces(offsets):
+                    token, row = token_rows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    for kind, h in ((WORD, np.setdiff1d(token, m.head)), (PAIR, np.unique(pairs_of(before(token, row), token)))):
+                        cut = np.searchsorted((h >> np.uint64(64 - shift)).astype(np.int64), np.arange((1 << shift) + 1))
+                        has = np.flatnonzero(np.diff(cut))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), chunk[lo])), pa.array(np.full(len(has), kind, np.int32)), pa.array(has.astype(np.int32)), pa.array([h[cut[s] : cut[s + 1]].tobytes() for s in has], pa.binary())], ["chunk", "kind", "segment", "hashes"])
+
+    def answer(key, asked: pa.Table, bits: pa.Table) -> pa.Table:
+        blobs = asked["hashes"].to_pylist()
+        h = np.frombuffer(b"".join(blobs), np.uint64)
+        blob = bits["bits"].to_pylist()
+        level = LogFrequencyFilter({key[1].as_py(): blob[0]} if blob else {}, shift).level(h).astype(np.uint8).tobytes()
+        ends = np.cumsum([len(x) // 8 for x in blobs]).tolist()
+        return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "hashes": asked["hashes"], "levels": pa.array([level[e - len(x) // 8 : e] for x, e in zip(blobs, ends, strict=True)], pa.binary())})
+
+    def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        kind, held = answers["kind"].to_numpy(), {}
+        for k in (WORD, PAIR):
+            own = answers.filter(pa.array(kind == k))
+            held[k] = Levels(np.frombuffer(b"".join(own["hashes"].to_pylist()), np.uint64), np.frombuffer(b"".join(own["levels"].to_pylist()), np.uint8))
+        m = replace(sent.value, pairs=held[PAIR], words=held[WORD])
+        return pa.Table.from_batches([x for batch in docs.combine_chunks().to_batches() for x in scored(m, batch)])
+
+    chunks = materialize(documents.select("doc_id", "text").mapInArrow(number, f"chunk long, doc_id {kind_of_id}, text string"), "language-chunks")
+    asked = chunks.mapInArrow(ask, "chunk long, kind int, segment int, hashes binary")
+    answers = asked.groupBy("kind", "segment").cogroup(filters.groupBy("kind", "segment")).applyInArrow(answer, "chunk long, kind int, hashes binary, levels binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 def score(documents: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    model, counted, least = train(documents, **options)
+    model, counted, least, filters, shift = train(documents, **options)
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(model)
     n, v = model.n, model.v
     kind = documents.schema["doc_id"].dataType.simpleString()
 
+    def scored(m: Model, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raw, offsets = column_bytes(batch.column("text"))
+        for a, b in pieces(offsets):
+            token, row = token_rows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            k = b - a
+            count, exact = m.count(token)
+            prev = before(token, row)
+            prev_count = np.empty_like(count)
+            prev_count[1:] = count[:-1]
+            prev_count[prev == START] = m.starts
+            logs = m.log10(token, prev, count, prev_count)
+            tail = np.flatnonzero(~exact)
+            cut = np.searchsorted(tail, np.r_[0, np.cumsum(np.bincount(row, minlength=k))])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").slice(a, k),
+                    pa.array(np.bincount(row, minlength=k), pa.int64()),
+                    pa.array(np.bincount(row, exact & (count > 0), minlength=k).astype(np.int64)),
+                    pa.array(np.bincount(row, np.where(exact, np.log10(count + 1), 0.0), minlength=k)),
+                    pa.array(np.bincount(row, logs, minlength=k)),
+                    pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(token[tail].view(np.int64))),
+                ],
+                ["doc_id", "n_tokens", "head_known", "head_log", "score", "tail"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for batch in batches:
-            raw, offsets = column_bytes(batch.column("text"))
-            for a, b in pieces(offsets):
-                token, row = token_rows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                k = b - a
-                count, exact = m.count(token)
-                prev = before(token, row)
-                prev_count = np.empty_like(count)
-                prev_count[1:] = count[:-1]
-                prev_count[prev == START] = m.starts
-                logs = m.log10(token, prev, count, prev_count)
-                tail = np.flatnonzero(~exact)
-                cut = np.searchsorted(tail, np.r_[0, np.cumsum(np.bincount(row, minlength=k))])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(a, k),
-                        pa.array(np.bincount(row, minlength=k), pa.int64()),
-                        pa.array(np.bincount(row, exact & (count > 0), minlength=k).astype(np.int64)),
-                        pa.array(np.bincount(row, np.where(exact, np.log10(count + 1), 0.0), minlength=k)),
-                        pa.array(np.bincount(row, logs, minlength=k)),
-                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(token[tail].view(np.int64))),
-                    ],
-                    ["doc_id", "n_tokens", "head_known", "head_log", "score", "tail"],
-                )
-
-    rows = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, head_known long, head_log double, score double, tail array<long>")
+            yield from scored(sent.value, batch)
+
+    schema = f"doc_id {kind}, n_tokens long, head_known long, head_log double, score double, tail array<long>"
+    if model.pairs is None:
+        rows = _joined(documents, sent, filters, shift, scored, schema)
+    else:
+        rows = documents.select("doc_id", "text").mapInArrow(run, schema)
     rows = materialize(rows.withColumn("row", F.xxhash64("doc_id", "n_tokens", "score", "tail")), "language-rows")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

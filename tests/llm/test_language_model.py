@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rookery.llm.language_model import LogFrequencyFilter, build_segment, levels, middle, score
+from rookery.llm.language_model import LogFrequencyFilter, build_segment, levels, middle, score, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,6 +58,21 @@ def test_filter_gives_back_levels_and_is_bounded():
     assert (np.abs(mid / count - 1) < 0.5).all()
 
 
+@pytest.mark.parametrize("head", [1 << 20, 40])
+def test_scores_are_the_same_where_filters_are_joined(spark, head):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 60)) % 900)) for i in range(120)] + [(500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r for r in score(docs, head_words=head).collect()}
+    joined = {r.doc_id: r for r in score(docs, head_words=head, broadcast_bits=0).collect()}
+    assert joined == whole and len(whole) == len(rows)
+
+
+def test_head_words_take_no_place_in_the_filter(spark):
+    model = train(spark.createDataFrame([(i, "a b c d") for i in range(20)], "doc_id long, text string"))[0]
+    assert len(model.head) == 5 and not model.words.bits.any()
+
+
 def test_empty_table_and_no_training_rows(spark):
     assert score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
