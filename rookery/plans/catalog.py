@@ -1,8 +1,7 @@
 """Every query of the library with its SQL where SQL can say it.
 
-Each takes (spark, sf_dir).  Texts stay in built-in expressions here
-(``unicode=False``) so that SQL sees the same normal form; the queries
-normalize_unicode, transliterate and dominant_script cover the rest.
+Each takes (spark, sf_dir).  Record queries with SQL stay in built-in expressions
+(``unicode=False``) so that SQL sees the same normal form; those without SQL use the full one.
 """
 
 from __future__ import annotations
@@ -43,9 +42,9 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     return R.records_view(table(spark, d, "documents"))
 
 
-def prepared(spark: SparkSession, d: str) -> DataFrame:
+def prepared(spark: SparkSession, d: str, unicode: bool = False) -> DataFrame:
     """Per-record text is derived and written once, not once per join."""
-    return materialize(blocking.prepare(records(spark, d), unicode=False), "records")
+    return materialize(blocking.prepare(records(spark, d), unicode=unicode), "records")
 
 
 def entities(recs: DataFrame) -> DataFrame:
@@ -355,14 +354,14 @@ def v0_rare_token_block(spark, d):
 # ------------------------------------------------------------------ pair features
 
 
-def exact_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
+def exact_pairs(spark, d, unicode: bool = False) -> tuple[DataFrame, DataFrame]:
     recs = records(spark, d)
-    return blocking.exact_core(blocking.prepare(recs, unicode=False)).select("s1_id", "cand_id", "score"), recs
+    return blocking.exact_core(blocking.prepare(recs, unicode=unicode)).select("s1_id", "cand_id", "score"), recs
 
 
-def pair_records(spark, d, columns: dict) -> DataFrame:
-    pairs, recs = exact_pairs(spark, d)
-    df = features.with_records(pairs, features.prepare(recs, unicode=False))
+def pair_records(spark, d, columns: dict, unicode: bool = False) -> DataFrame:
+    pairs, recs = exact_pairs(spark, d, unicode)
+    df = features.with_records(pairs, features.prepare(recs, unicode=unicode))
     return rounded(df.select("s1_id", "cand_id", *(c.alias(n) for n, c in columns.items())))
 
 
@@ -429,13 +428,13 @@ def missingness_flags(spark, d):
 
 @query()
 def fuzzy_ratios(spark, d):
-    return pair_records(spark, d, features.fuzzy_features() | {"name_seqratio": S.fuzzy_sequence(F.col("l.norm"), F.col("r.norm"))})
+    return pair_records(spark, d, features.fuzzy_features() | {"name_seqratio": S.fuzzy_sequence(F.col("l.norm"), F.col("r.norm"))}, unicode=True)
 
 
 @query()
 def feature_matrix_77(spark, d):
-    pairs, recs = exact_pairs(spark, d)
-    return rounded(features.featurize(pairs, recs, unicode=False))
+    pairs, recs = exact_pairs(spark, d, unicode=True)
+    return rounded(features.featurize(pairs, recs))
 
 
 @query(f"""WITH {Q.CLAIMS}, w AS (SELECT *, row_number() OVER o AS r, max(prob) OVER g AS mx, avg(prob) OVER g AS mean, stddev_pop(prob) OVER g AS sd, count(*) OVER g AS n, lead(prob) OVER o AS nxt, nth_value(prob, 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
@@ -704,8 +703,8 @@ def referenced_records(spark, d):
 
 def _trained(spark, d):
     recs = records(spark, d)
-    pairs = materialize(blocking.key_block_rescored(prepared(spark, d)), "pairs")
-    x = evaluate.labelled(features.featurize(pairs, recs, unicode=False), R.truth_view(recs))
+    pairs = materialize(blocking.key_block_rescored(prepared(spark, d, unicode=True)), "pairs")
+    x = evaluate.labelled(features.featurize(pairs, recs), R.truth_view(recs))
     x = materialize(x, "pair-features")
     return model.score(model.train(x, features.COLUMNS, trees=20), x, features.COLUMNS), entities(recs)
 

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rookery.operators.features import COLUMNS
 from rookery.plans import catalog
@@ -39,6 +40,16 @@ def test_feature_matrix_has_77_columns_in_order(spark, sf):
     assert df.count() == catalog.block_exact_core(spark, sf).count()
 
 
+def test_queries_without_sql_use_the_full_normal_form(spark, sf, monkeypatch):
+    recs = catalog.records(spark, sf).limit(1)
+    name = lambda i, source, text: recs.withColumns({"entity_id": F.lit(i), "source": F.lit(source), "name": F.lit(text)})
+    rows = name("S1-1", "S1", "Straße Bau").unionByName(name("S2-1", "S2", "STRASSE BAU")).unionByName(name("S1-2", "S1", "राम मोहन")).unionByName(name("S2-2", "S2", "राम मोहन"))
+    monkeypatch.setattr(catalog, "records", lambda *_: rows)
+    assert not {"fuzzy_ratios", "feature_matrix_77", "gbt_scores", "end_to_end_match"} & set(catalog.SQL)
+    for q in (catalog.feature_matrix_77, catalog.fuzzy_ratios):
+        assert {(r.s1_id, r.cand_id) for r in q(spark, sf).collect()} >= {("S1-1", "S2-1"), ("S1-2", "S2-2")}
+
+
 def test_model_runs_end_to_end(spark, sf):
     rows = catalog.end_to_end_match(spark, sf).collect()
     assert len(rows) == catalog.records(spark, sf).where("source = 'S1'").count()
