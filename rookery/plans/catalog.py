@@ -274,6 +274,24 @@ def dominant_script(spark, d):
     return _cases(spark).select("i", T.dominant_script("text").alias("script"))
 
 
+# The same over all texts; SQL cannot follow.
+
+
+@query()
+def normalize_unicode_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize("text").alias("norm"))
+
+
+@query()
+def transliterate_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.transliterate("text").alias("latin"))
+
+
+@query()
+def dominant_script_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.dominant_script("text").alias("script"))
+
+
 # ------------------------------------------------------------------ blocking
 
 _KEYED = f"{_PREP}, {Q.FREQ}, {Q.KEYS}"

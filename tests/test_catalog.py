@@ -1,11 +1,14 @@
 """Every query with SQL gives the rows of its SQL; the others run and have their columns."""
 
 import math
+import re
+import unicodedata
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from rookery.functions import text as T
 from rookery.operators.features import COLUMNS
 from rookery.plans import catalog
 
@@ -40,6 +43,16 @@ def test_feature_matrix_has_77_columns_in_order(spark, sf):
     assert df.count() == catalog.block_exact_core(spark, sf).count()
 
 
+def test_text_queries_over_all_documents(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in catalog.table(spark, sf, "documents").select("doc_id", "text").collect()}
+    folded = spark.createDataFrame([(i, unicodedata.normalize("NFKC", t).casefold()) for i, t in texts.items()], "doc_id long, text string")
+    want = {r.doc_id: r.norm for r in folded.select("doc_id", T.normalize_native("text").alias("norm")).collect()}
+    assert {r.doc_id: r.norm for r in catalog.normalize_unicode_documents(spark, sf).collect()} == want
+    assert {r.doc_id: r.script for r in catalog.dominant_script_documents(spark, sf).collect()} == {i: T.script_of(t) for i, t in texts.items()}
+    letters = re.compile("[\u0900-\u097f]")
+    assert {r.doc_id: r.latin for r in catalog.transliterate_documents(spark, sf).collect()} == {i: T.romanize(t) if letters.search(t) else None for i, t in texts.items()}
+
+
 def test_queries_without_sql_use_the_full_normal_form(spark, sf, monkeypatch):
     recs = catalog.records(spark, sf).limit(1)
     name = lambda i, source, text: recs.withColumns({"entity_id": F.lit(i), "source": F.lit(source), "name": F.lit(text)})
