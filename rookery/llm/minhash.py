@@ -23,7 +23,7 @@ shares a bucket is either in one component or was compared.
 Cases: null texts and texts without words have no shingles, link with nothing
 and are their own component.  Rows of equal doc_id are one document to the
 links; each row is returned.  An empty table gives no rows.  Extra columns are
-left out.  Ties go to the smaller doc_id.
+left out.  A null doc_id names no document: such a row is its own component, null, and kept.  Ties go to the smaller doc_id.
 """
 
 from __future__ import annotations
@@ -238,6 +238,8 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
 def near_duplicates(documents: DataFrame, *, k: int = 4, percent: int = 80, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; see the module."""
     rows = materialize(signed(documents, k), "minhash")
+    nameless = rows.where("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = rows.where("doc_id IS NOT NULL")
     nodes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"))
     facts = ["n_shingles", *(f"s{i}" for i in range(SKETCH_LONGS))]
     nodes = rows.join(nodes, (rows.set_id == nodes.set_id) & (rows.doc_id == nodes.id)).select("id", F.struct(*facts).alias("facts"), "bands").dropDuplicates(["id"])
@@ -300,10 +302,11 @@ def near_duplicates(documents: DataFrame, *, k: int = 4, percent: int = 80, broa
         reps = reps.select("set_id", F.col("id").alias("component_id"))
     full = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "set_id").join(reps, "set_id").drop("set_id")
     none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(none).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return full.unionByName(none).unionByName(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(documents: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which each group of near duplicates keeps its smallest doc_id."""
     kept = near_duplicates(documents, k=k, percent=percent).where("kept").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").select(*documents.columns)
+    named = documents.join(kept, "doc_id", "left_semi").select(*documents.columns)
+    return named.unionByName(documents.where("doc_id IS NULL"))

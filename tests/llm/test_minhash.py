@@ -106,5 +106,12 @@ def test_components(spark):
     assert got == {9: 1, 4: 1, 7: 1, 21: 20, 22: 20, **{101 + i: 100 for i in range(30)}} or {k: v for k, v in got.items() if k != v} == {9: 1, 4: 1, 7: 1, 21: 20, 22: 20, **{101 + i: 100 for i in range(30)}}
 
 
+def test_rows_of_null_doc_id_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "x y z")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(docs).collect())
+    assert got == [(0, 0, True), (0, 0, True), (1, 1, True), (2, 1, False)]
+    assert sorted((r.doc_id or 0, r.text) for r in keep_one(docs).collect()) == [(0, "a b c d"), (0, "x y z"), (1, "a b c d")]
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
