@@ -38,7 +38,8 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 # Fixed values of HTML: elements that never hold article text, that stand as blocks, that have no end tag.
 DROPPED = frozenset("nav footer aside form button dialog menu noscript fieldset label option datalist map head".split())
@@ -72,6 +73,15 @@ def _names_itself_else(attributes: str) -> bool:
     return False
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether the attribute hidden, aria-hidden=true or display:none is among them."""
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").strip()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
+            return True
+    return False
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(class, text, block, labelled) of each piece of a page; a tag's text is empty.
 
@@ -110,7 +120,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         if not closing and name not in VOID and not attributes.endswith("/"):
             page_header = name == "header" and not inside
             own = name in OWN_HEADER and inside
-            if name in DROPPED or page_header or (name not in ("html", "body", "article", "main") or not inside and "comment" in attributes.lower()) and attributes and not own and (_names_itself_else(attributes) or HIDDEN.search(attributes)):
+            if name in DROPPED or page_header or (name not in ("html", "body", "article", "main") or not inside and "comment" in attributes.lower()) and attributes and not own and (_names_itself_else(attributes) or _hidden(attributes)):
                 skip, depth = name, 1
                 yield "tag:" + name, "", name in BLOCKS, inside > 0
                 continue

@@ -1,7 +1,9 @@
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rookery.llm.html_text import extract, extract_pages, weights
+from rookery.llm.html_text import extract, extract_pages, weights, tokens
 
 W = weights({})
 PAGE = """<!DOCTYPE html><html><head><title>T words here</title><style>p{}</style><script>var t="</p>";x(1<2)</script></head><body>
@@ -38,3 +40,9 @@ def test_pages(spark):
     got = sorted(extract_pages(pages).collect(), key=lambda r: r.page_id)
     assert [r.page_id for r in got] == [1, 1, 2] and got[0].text == extract(PAGE, W) and got[0].n_chars == len(got[0].text) and got[2].text == ""
     assert extract_pages(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("attributes, hidden", [("style='overflow:hidden'", False), ('aria-hidden="false"', False), ("data-x=hidden", False), ("hidden", True), ('id="a" HIDDEN=""', True), ("aria-hidden=true", True), ('style="color:red; display: none"', True)])
+def test_only_hidden_elements_are_dropped(attributes, hidden):
+    text = " ".join(t for _, t, _, _ in tokens(f"<article><div {attributes}>secret words</div><p>seen</p></article>"))
+    assert ("secret" not in text) == hidden
