@@ -38,10 +38,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from rookery.llm.textarrays import released
+
 # Fixed value: the splitting pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICE = 1 << 16
-MEMO = 300_000
+#: Entries of a generation of remembered stretches and of remembered pairs of tokens; two are held.
+MEMO, BESIDE = 1 << 16, 1 << 16
 NONE = -1
 
 
@@ -100,7 +103,8 @@ class Transducer:
         for b in self.bytes:
             self.reach[b[:2]] = max(self.reach.get(b[:2], 1), len(b))
         self.shorter = [next((inner[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in inner), NONE) for b in self.bytes]
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
+        self.beside_before: dict[int, bool] = {}
         self.window = max(4096, 4 * self.lookahead)
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.text_of: list[bytes] = [b""] * size
@@ -115,11 +119,15 @@ class Transducer:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether ``a b`` merges to ``a b`` again."""
-        known = self.beside.get((a, b))
+        key = a << 32 | b
+        known = self.beside.get(key)
         if known is None:
-            if len(self.beside) > 2_000_000:
-                self.beside.clear()
-            known = self.beside[a, b] = self._undisturbed(a, b)
+            known = self.beside_before.get(key)
+            if known is None:
+                known = self._undisturbed(a, b)
+            if len(self.beside) >= BESIDE:
+                self.beside, self.beside_before = {}, self.beside
+            self.beside[key] = known
         return known
 
     def _undisturbed(self, a: int, b: int) -> bool:
@@ -195,24 +203,26 @@ class Transducer:
             at = known
         yield from self.tokens(data[at:])
 
-    def slices(self, text: str) -> Iterator[str]:
-        at = 0
-        while len(text) - at > SLICE:
-            m = self.cut.search(text, at + SLICE)
+    def slices(self, text: str, at: int, end: int) -> Iterator[str]:
+        while end - at > SLICE:
+            m = self.cut.search(text, at + SLICE, end)
             if not m:
                 break
             yield text[at : m.start()]
             at = m.start()
-        yield text[at:]
+        if at < end:
+            yield text[at:end]
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers, a slice of the text at a time."""
-        for piece in self.marks.split(text) if self.marks and any(s in text for s in self.special) else (text,):
-            if piece in self.special:
-                yield pack("<I", self.special[piece])
-                continue
-            for part in self.slices(piece):
-                yield b"".join(map(self.memo.__getitem__, self.split.findall(part)))
+        memo, split, at = self.memo, self.split.findall, 0
+        for m in self.marks.finditer(text) if self.marks else ():
+            for part in self.slices(text, at, m.start()):
+                yield b"".join([memo[s] for s in split(part)])
+            yield pack("<I", self.special[m.group()])
+            at = m.end()
+        for part in self.slices(text, at, len(text)):
+            yield b"".join([memo[s] for s in split(part)])
 
     def decode(self, packed: Iterable[bytes]) -> Iterator[str]:
         """Text of packed ids; a character is given out once its last byte has come."""
@@ -224,16 +234,20 @@ class Transducer:
 
 
 class _Memo(dict):
-    """Packed ids of stretches seen before; emptied when full."""
+    """Packed ids of stretches seen lately: this generation and the one before."""
 
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, stretch: str) -> bytes:
-        t = self.transducer
-        packed = b"".join([t.out[i] for i in t.stream(stretch.encode())])
+        packed = self.before.get(stretch)
+        if packed is None:
+            t = self.transducer
+            packed = b"".join([t.out[i] for i in t.stream(stretch.encode())])
         if len(stretch) <= 64:
             if len(self) >= MEMO:
+                self.before = dict(self)
                 self.clear()
             self[stretch] = packed
         return packed
@@ -255,20 +269,27 @@ def encode_documents(documents: DataFrame, tokenizer: str, *, ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(source.value)
-        for batch in batches:
+        for batch in released(batches):
             n, digests, decoded, lists = [], [], [], []
             for text in batch.column("text"):
-                packed = list(t.encode(text.as_py() or ""))
-                there, back = hashlib.sha256(), hashlib.sha256()
-                for p in packed:
-                    there.update(p)
-                for s in t.decode(packed):
+                there, back, kept, size = hashlib.sha256(), hashlib.sha256(), [], 0
+
+                def noted(text=text, there=there, kept=kept) -> Iterator[bytes]:
+                    nonlocal size
+                    for p in t.encode(text.as_py() or ""):
+                        there.update(p)
+                        size += len(p) // 4
+                        if ids:
+                            kept.append(p)
+                        yield p
+
+                for s in t.decode(noted()):
                     back.update(s.encode())
-                n.append(sum(map(len, packed)) // 4)
+                n.append(size)
                 digests.append(there.hexdigest())
                 decoded.append(back.hexdigest())
                 if ids:
-                    lists.append(np.frombuffer(b"".join(packed), "<i4"))
+                    lists.append(np.frombuffer(b"".join(kept), "<i4"))
             out = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:

@@ -9,7 +9,8 @@ the filters are broadcast.  Beyond that they stay where they are: chunks of docu
 their distinct n-grams to the segments and get the levels back, which gives the same scores.
 
 Counting: each task counts its own words and word pairs and sends one packed
-row per segment, so a word that fills the corpus costs a row per task.
+row per segment, so a word that fills the corpus costs a row per task.  Words and pairs are told
+apart by 64-bit hashes (see ``textarrays``): among V distinct ones V * V / 2**65 pairs share a hash by chance.
 
 Scores.  The base needs exact word counts.  The ``head_words`` most frequent words
 at most are broadcast with theirs; rarer tokens are joined with the counted
@@ -19,7 +20,7 @@ number of distinct followers that a word of that count usually has.
 
 Cases: null and empty texts have one token, the end.  Without training rows all
 counts are zero and base and model are those of one unseen token kind.  Repeated
-rows each get their scores.  An empty table gives no rows.  Extra columns are
+rows each get their scores.  A very long text is a piece of its own.  An empty table gives no rows.  Extra columns are
 left out.
 """
 
@@ -31,11 +32,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.textarrays import column_bytes, mix, pieces, words
+from rookery.llm.textarrays import column_bytes, mix, pieces, released, words
 from rookery.plans.durable import materialize
 
 END, START = np.uint64(0xE0D), np.uint64(0x57A27)
@@ -44,7 +46,8 @@ BASE = 1.5
 PROBES = 6
 BITS_PER_ENTRY = PROBES / math.log(2)
 K0, K1 = 3.0, 0.85
-FLUSH = 3_000_000
+#: Counts a task holds before it sends them on.
+FLUSH = 1_000_000
 _SALT = np.random.default_rng(99).integers(1, 2**63, 128, dtype=np.uint64)
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -113,16 +116,9 @@ def _places(h: np.ndarray, level: np.ndarray, bits: np.ndarray) -> Iterator[np.n
         at = at + step
 
 
-def build_segment(h: np.ndarray, count: np.ndarray, most_bits: int | None = None) -> np.ndarray:
-    """The packed filter of one segment's n-grams; of the most frequent that fit, if ``most_bits`` is given."""
+def build_segment(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The packed filter of one segment's n-grams, sized by what they need: its number of bits, then the bits."""
     q = levels(count)
-    order = np.argsort(-count, kind="stable")
-    cost = np.cumsum(q[order]) * BITS_PER_ENTRY
-    if most_bits is not None and len(cost) and cost[-1] > most_bits:  # keep whole counts, the largest first
-        kept = int(np.searchsorted(cost, most_bits, "right"))
-        least = count[order[kept]] + 1
-        keep = count >= least
-        h, q = h[keep], q[keep]
     n_bits = max(64, int(q.sum() * BITS_PER_ENTRY) + 1)
     bits = np.zeros((n_bits + 7) // 8 * 8, np.uint8)
     for level in range(1, int(q.max(initial=0)) + 1):
@@ -132,52 +128,62 @@ def build_segment(h: np.ndarray, count: np.ndarray, most_bits: int | None = None
     return np.frombuffer(np.uint64(n_bits).tobytes() + np.packbits(bits, bitorder="little").tobytes(), np.uint8)
 
 
+def probe(data: np.ndarray, h: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The level of each n-gram whose segment has ``size`` bits from bit ``base`` of ``data``; 0 where it is not held."""
+    out = np.zeros(len(h), np.int64)
+    live = np.flatnonzero(size > 0)
+    for level in range(1, len(_SALT)):
+        if not len(live):
+            break
+        own, first, wide = h[live], base[live], size[live]
+        alive = np.arange(len(live))
+        a = mix(own ^ _SALT[level])
+        step, at = (a >> np.uint64(32)) | np.uint64(1), a & np.uint64(0xFFFFFFFF)
+        for _ in range(PROBES):
+            bit = first[alive] + (((at[alive] & np.uint64(0xFFFFFFFF)) * wide[alive]) >> np.uint64(32)).astype(np.int64)
+            alive = alive[(data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+            at[alive] = at[alive] + step[alive]
+        live = live[alive]
+        out[live] = level
+    return out
+
+
+def probe_segment(blob: bytes | None, h: np.ndarray) -> np.ndarray:
+    """The levels of n-grams of one packed segment."""
+    if not blob:
+        return np.zeros(len(h), np.int64)
+    size = np.full(len(h), np.frombuffer(blob[:8], np.uint64)[0])
+    return probe(np.frombuffer(blob, np.uint8)[8:], h, np.zeros(len(h), np.int64), size)
+
+
 class LogFrequencyFilter:
     """All segments of one kind of n-gram, side by side."""
 
-    def __init__(self, segments: dict[int, bytes], shift: int):
+    def __init__(self, segments: pa.Table, shift: int):
+        """``segments``: segment and bits, the packed filter of each."""
         n = 1 << shift
         self.shift = np.uint64(64 - shift)
-        self.bits = np.zeros(n, np.uint64)
-        parts, start = [], np.zeros(n, np.int64)
+        self.bits, self.start = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        self.data = np.zeros(pc.sum(pc.binary_length(segments["bits"])).as_py() or 1, np.uint8)
         at = 0
-        for s in range(n):
-            blob = segments.get(s)
-            start[s] = at
-            if blob:
-                self.bits[s] = np.frombuffer(blob[:8], np.uint64)[0]
-                parts.append(np.frombuffer(blob, np.uint8)[8:])
-                at += len(parts[-1])
-        self.start = start * 8
-        self.data = np.concatenate([*parts, np.zeros(1, np.uint8)])
+        for batch in segments.to_batches():
+            for s, blob in zip(batch.column("segment").to_pylist(), batch.column("bits"), strict=True):
+                own = np.frombuffer(blob.as_buffer(), np.uint8)
+                self.bits[s], self.start[s] = own[:8].view(np.uint64)[0], 8 * at
+                self.data[at : at + len(own) - 8] = own[8:]
+                at += len(own) - 8
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 where it is not held."""
-        out = np.zeros(len(h), np.int64)
         seg = (h >> self.shift).astype(np.int64)
-        live = np.flatnonzero(self.bits[seg] > 0)
-        for level in range(1, len(_SALT)):
-            if not len(live):
-                break
-            own, base, size = h[live], self.start[seg[live]], self.bits[seg[live]]
-            alive = np.arange(len(live))
-            a = mix(own ^ _SALT[level])
-            step, at = (a >> np.uint64(32)) | np.uint64(1), a & np.uint64(0xFFFFFFFF)
-            for _ in range(PROBES):
-                bit = base[alive] + (((at[alive] & np.uint64(0xFFFFFFFF)) * size[alive]) >> np.uint64(32)).astype(np.int64)
-                alive = alive[(self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-                at[alive] = at[alive] + step[alive]
-            live = live[alive]
-            out[live] = level
-        return out
+        return probe(self.data, h, self.start[seg], self.bits[seg])
 
 
 class Levels:
-    """Levels that a chunk was sent, in place of a filter."""
+    """Levels that a chunk was sent for its sorted, distinct n-grams, in place of a filter."""
 
     def __init__(self, h: np.ndarray, level: np.ndarray):
-        order = np.argsort(h)
-        self.h, self.of = h[order], level[order].astype(np.int64)
+        self.h, self.of = h, level.astype(np.int64)
 
     def level(self, h: np.ndarray) -> np.ndarray:
         return self.of[np.searchsorted(self.h, h)] if len(h) else np.zeros(0, np.int64)
@@ -221,19 +227,35 @@ class Model:
         return np.log10((both + k * single) / (prev_count + k))
 
 
+def by_segment(h: np.ndarray, shift: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The segments that sorted hashes lie in, and from where to where."""
+    seg = (h >> np.uint64(64 - shift)).astype(np.int32)
+    cut = np.r_[np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else [], len(seg)].astype(np.int64)
+    return seg[cut[:-1]], list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+
+
+def packed_counts(n: np.ndarray) -> bytes:
+    """A byte for each count; behind them, eight bytes for each that is 255 or more, in order."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
+
+
+def unpacked_counts(blob: bytes, size: int) -> np.ndarray:
+    n = np.frombuffer(blob, np.uint8, size).astype(np.int64)
+    n[n == 255] = np.frombuffer(blob, "<i8", offset=size)
+    return n
+
+
 def _counting(shift: int):
     """Packed counts of a task's words and pairs, one row per kind and segment."""
 
     def rows(kind: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        seg = (h >> np.uint64(64 - shift)).astype(np.int64)
-        cut = np.searchsorted(seg, np.arange((1 << shift) + 1))
-        has = np.flatnonzero(np.diff(cut))
+        has, cut = by_segment(h, shift)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(len(has), kind, np.int32)),
-                pa.array(has.astype(np.int32)),
-                pa.array([h[cut[s] : cut[s + 1]].tobytes() for s in has], pa.binary()),
-                pa.array([n[cut[s] : cut[s + 1]].astype("<u4").tobytes() for s in has], pa.binary()),
+                pa.array(has),
+                pa.array([h[a:b].tobytes() for a, b in cut], pa.binary()),
+                pa.array([packed_counts(n[a:b]) for a, b in cut], pa.binary()),
             ],
             ["kind", "segment", "hashes", "counts"],
         )
@@ -248,7 +270,7 @@ def _counting(shift: int):
                     yield rows(kind, *_tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
                     parts.clear()
 
-        for batch in batches:
+        for batch in released(batches):
             raw, offsets = column_bytes(batch.column("text"))
             for a, b in pieces(offsets):
                 token, row = token_rows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -263,20 +285,21 @@ def _counting(shift: int):
     return run
 
 
-def train(documents: DataFrame, *, head_words: int = 1 << 20, broadcast_bits: int = 1 << 29, per_segment: int = 1 << 18) -> tuple[Model, DataFrame, int, DataFrame, int]:
+def train(documents: DataFrame, *, head_words: int = 1 << 20, broadcast_bits: int = 1 << 30, per_segment: int = 1 << 18) -> tuple[Model, DataFrame, int, DataFrame, int]:
     """(model, counted words as packed rows, the smallest count of a head word, filters, shift of their segments).
 
     The model is without filters where these have more than ``broadcast_bits`` bits.
     """
     docs = documents.where(~held_out(F.col("doc_id"))).select("text")
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shift = min(14, max(4, math.ceil(math.log2(max(n_bytes / 6, 1) / per_segment + 1))))
+    # Segments become more as the text grows, so none outgrows the task that counts it.
+    shift = max(4, math.ceil(math.log2(max(n_bytes / 6, 1) / per_segment + 1)))
 
     def reduce(table: pa.Table) -> pa.Table:
         kind, segment = table["kind"][0].as_py(), table["segment"][0].as_py()
-        h = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
-        n = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").astype(np.int64)
-        h, n = _tally(h, n)
+        hashes = table["hashes"].to_pylist()
+        n = np.concatenate([unpacked_counts(c, len(x) // 8) for x, c in zip(hashes, table["counts"].to_pylist(), strict=True)])
+        h, n = _tally(np.frombuffer(b"".join(hashes), np.uint64), n)
         words_too = kind == WORD
         out = {
             "kind": pa.array([kind], pa.int32()),
@@ -324,7 +347,7 @@ def train(documents: DataFrame, *, head_words: int = 1 << 20, broadcast_bits: in
     if 8 * filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0] <= broadcast_bits:
         for kind in held:
             table = filters.where(f"kind = {kind}").select("segment", "bits").toArrow()
-            held[kind] = LogFrequencyFilter(dict(zip(table["segment"].to_pylist(), table["bits"].to_pylist(), strict=True)), shift)
+            held[kind] = LogFrequencyFilter(table, shift)
             del table
     model = Model(n, v, h[order], c[order], held[PAIR], held[WORD])
     return model, words_only.select("hashes", "counts"), least, filters, shift
@@ -341,39 +364,41 @@ def _joined(documents: DataFrame, sent, filters: DataFrame, shift: int, scored,
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, chunk)), *(batch.column(c).slice(a, b - a) for c in ("doc_id", "text"))], ["chunk", "doc_id", "text"])
                 chunk += 1
 
+    def wanted(m: Model, texts: pa.Array) -> dict[int, np.ndarray]:
+        """The sorted, distinct n-grams that a chunk's texts ask for."""
+        token, row = token_rows(*column_bytes(texts))
+        return {WORD: np.setdiff1d(token, m.head), PAIR: np.unique(pairs_of(before(token, row), token))}
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
             chunk = batch.column("chunk").to_numpy()
             cuts = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)] if len(chunk) else np.zeros(1, np.int64)
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                raw, offsets = column_bytes(batch.column("text").slice(lo, hi - lo))
-                for a, b in pieces(offsets):
-                    token, row = token_rows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    for kind, h in ((WORD, np.setdiff1d(token, m.head)), (PAIR, np.unique(pairs_of(before(token, row), token)))):
-                        cut = np.searchsorted((h >> np.uint64(64 - shift)).astype(np.int64), np.arange((1 << shift) + 1))
-                        has = np.flatnonzero(np.diff(cut))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), chunk[lo])), pa.array(np.full(len(has), kind, np.int32)), pa.array(has.astype(np.int32)), pa.array([h[cut[s] : cut[s + 1]].tobytes() for s in has], pa.binary())], ["chunk", "kind", "segment", "hashes"])
+                for kind, h in wanted(m, batch.column("text").slice(lo, hi - lo)).items():
+                    has, cut = by_segment(h, shift)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), chunk[lo])), pa.array(np.full(len(has), kind, np.int32)), pa.array(has), pa.array([h[x:y].tobytes() for x, y in cut], pa.binary())], ["chunk", "kind", "segment", "hashes"])
 
     def answer(key, asked: pa.Table, bits: pa.Table) -> pa.Table:
         blobs = asked["hashes"].to_pylist()
         h = np.frombuffer(b"".join(blobs), np.uint64)
         blob = bits["bits"].to_pylist()
-        level = LogFrequencyFilter({key[1].as_py(): blob[0]} if blob else {}, shift).level(h).astype(np.uint8).tobytes()
+        level = probe_segment(blob[0] if blob else None, h).astype(np.uint8).tobytes()
         ends = np.cumsum([len(x) // 8 for x in blobs]).tolist()
-        return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "hashes": asked["hashes"], "levels": pa.array([level[e - len(x) // 8 : e] for x, e in zip(blobs, ends, strict=True)], pa.binary())})
+        return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "segment": asked["segment"], "levels": pa.array([level[e - len(x) // 8 : e] for x, e in zip(blobs, ends, strict=True)], pa.binary())})
 
     def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        kind, held = answers["kind"].to_numpy(), {}
-        for k in (WORD, PAIR):
-            own = answers.filter(pa.array(kind == k))
-            held[k] = Levels(np.frombuffer(b"".join(own["hashes"].to_pylist()), np.uint64), np.frombuffer(b"".join(own["levels"].to_pylist()), np.uint8))
+        # In order of segments the answers are in order of the n-grams asked for.
+        answers, held = answers.sort_by([("kind", "ascending"), ("segment", "ascending")]), {}
+        kind = answers["kind"].to_numpy()
+        for k, h in wanted(sent.value, docs["text"]).items():
+            held[k] = Levels(h, np.frombuffer(b"".join(answers["levels"].filter(pa.array(kind == k)).to_pylist()), np.uint8))
         m = replace(sent.value, pairs=held[PAIR], words=held[WORD])
         return pa.Table.from_batches([x for batch in docs.combine_chunks().to_batches() for x in scored(m, batch)])
 
     chunks = materialize(documents.select("doc_id", "text").mapInArrow(number, f"chunk long, doc_id {kind_of_id}, text string"), "language-chunks")
     asked = chunks.mapInArrow(ask, "chunk long, kind int, segment int, hashes binary")
-    answers = asked.groupBy("kind", "segment").cogroup(filters.groupBy("kind", "segment")).applyInArrow(answer, "chunk long, kind int, hashes binary, levels binary")
+    answers = asked.groupBy("kind", "segment").cogroup(filters.groupBy("kind", "segment")).applyInArrow(answer, "chunk long, kind int, segment int, levels binary")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
 
 
@@ -411,7 +436,7 @@ def score(documents: DataFrame, **options) -> DataFrame:
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             yield from scored(sent.value, batch)
 
     schema = f"doc_id {kind}, n_tokens long, head_known long, head_log double, score double, tail array<long>"

@@ -7,7 +7,8 @@ share a bucket, and a bucket proposes only a star: its hub, the smallest id,
 with each other member.  Size ratio and a 256-bit sketch discard pairs that
 cannot, or all but surely do not, reach the threshold; the rest are confirmed on
 the full shingle sets.  Confirmed edges give components by alternating large and
-small stars.
+small stars.  Sets are confirmed on the words themselves: hashes of words and shingles are
+checked to be one to one in the texts compared, and exchanged for the words where they are not.
 
 The first hub of a bucket is the member that meets most others over all its
 buckets, so that in a family of copies the original, which is alike to all, is
@@ -21,7 +22,7 @@ two sets at the threshold always share one (prefix filter), so every pair that
 shares a bucket is either in one component or was compared.
 
 Cases: null texts and texts without words have no shingles, link with nothing
-and are their own component.  Rows of equal doc_id are one document to the
+and are their own component.  A very long text is a piece of its own and costs memory in proportion to its length.  Rows of equal doc_id are one document to the
 links; each row is returned.  An empty table gives no rows.  Extra columns are
 left out.  A null doc_id names no document: such a row is its own component, null, and kept.  Ties go to the smaller doc_id.
 """
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.textarrays import column_bytes, mix, pieces, shingles, words
+from rookery.llm.textarrays import column_bytes, exact, mix, pieces, released, shingles, words
 from rookery.plans.durable import materialize
 
 BANDS, ROWS = 56, 8
@@ -52,6 +53,9 @@ _ORDER = np.argsort(_RNG.random((BINS, BINS)), axis=1).astype(np.int16)
 _RANK = np.argsort(_ORDER, axis=1).astype(np.int16)
 _ODD = _RNG.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 _TRIES = 24
+_LOWER_ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Sets held by at least one row in so many are hot; there are no more of them than that.
+HOT_SHARE = 2000
 #: Rounds of two further hubs in each open bucket before the exact join of what is left.
 ROUNDS = 2
 
@@ -117,7 +121,7 @@ def signed(documents: DataFrame, k: int) -> DataFrame:
     names = [f"s{i}" for i in range(SKETCH_LONGS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             ids = batch.column("doc_id")
             for a, n, row, s in shingle_sets(batch.column("text"), k):
                 count = np.bincount(row, minlength=n)
@@ -141,30 +145,47 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & ((F.least(x, y) < SKETCH_FROM) | (64 * SKETCH_LONGS - agree >= SKETCH_AGREE))
 
 
+def _links(a: pa.Array, b: pa.Array, k: int, percent: int) -> np.ndarray:
+    """Which rows of two text columns are links, on the shingles themselves.
+
+    Hashes stand for shingles only where ``exact`` found that equal hashes come from equal words here.
+    """
+    n = len(a)
+    raw, offsets = column_bytes(pa.concat_arrays([a, b]))
+    if exact(raw, offsets, k):
+        h, row, _, _ = words(raw, offsets)
+        s, r = shingles(h, row, 2 * n, k)
+    else:
+        number: dict[tuple[str, ...], int] = {}
+        texts = [bytes(raw[x:y]).translate(_LOWER_ASCII).split() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+        grams = [(i, tuple(w[j : j + k])) for i, w in enumerate(texts) if w for j in range(max(1, len(w) - k + 1))]
+        s = np.array([number.setdefault(g, len(number)) for _, g in grams], np.uint64)
+        r = np.array([i for i, _ in grams], np.int64)
+    order = np.lexsort((s, r))
+    s, r = s[order], r[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (r[1:] != r[:-1])
+    s, r = s[new], r[new]
+    size = np.bincount(r, minlength=2 * n)
+    order = np.lexsort((s, r % n))
+    s, r = s[order], r[order] % n
+    shared = np.bincount(r[1:][(s[1:] == s[:-1]) & (r[1:] == r[:-1])], minlength=n)
+    return (100 * shared >= percent * (size[:n] + size[n:] - shared)) & (shared > 0)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids with 100 * intersection >= percent * union, on full sets."""
     kind = pairs.schema["a"].dataType.simpleString()
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = [np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)]
-            shared = np.zeros(batch.num_rows, np.int64)
+        for batch in released(batches):
+            offsets = [column_bytes(batch.column(c))[1] for c in ("text_a", "text_b")]
+            links = [np.zeros(0, bool)]
             # The same few rows of both columns at a time, so only their sets are held.
-            bytes_a, bytes_b = (column_bytes(batch.column(c))[1] for c in ("text_a", "text_b"))
-            for lo, hi in pieces(bytes_a + bytes_b):
-                rows, hashes = [], []
-                for i, c in enumerate(("text_a", "text_b")):
-                    for a, n, row, s in shingle_sets(batch.column(c).slice(lo, hi - lo), k):
-                        size[i][lo + a : lo + a + n] = np.bincount(row, minlength=n)
-                        rows.append(row + lo + a)
-                        hashes.append(s)
-                r, s = np.concatenate(rows), np.concatenate(hashes)
-                order = np.lexsort((s, r))
-                r, s = r[order], s[order]
-                twice = (s[1:] == s[:-1]) & (r[1:] == r[:-1])
-                shared += np.bincount(r[1:][twice], minlength=batch.num_rows)
-            keep = pa.array((100 * shared >= percent * (size[0] + size[1] - shared)) & (shared > 0))
+            for lo, hi in pieces(offsets[0] + offsets[1]):
+                links.append(_links(*(batch.column(c).slice(lo, hi - lo) for c in ("text_a", "text_b")), k, percent))
+            keep = pa.array(np.concatenate(links))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
@@ -215,7 +236,7 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     kind = nodes.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             ids = batch.column("id")
             for a, n, row, s in shingle_sets(batch.column("text"), k):
                 yield pa.RecordBatch.from_arrays([ids.slice(a, n).take(pa.array(row)), pa.array(s.view(np.int64))], ["id", "h"])
@@ -295,12 +316,15 @@ def near_duplicates(documents: DataFrame, *, k: int = 4, percent: int = 80, broa
         link(likely(stars.select(F.col("h.id").alias("hub"), F.col("h.facts").alias("hub_facts"), "id", "facts")))
         left = own.where("id <> h0.id AND id <> h1.id").select("bucket", "id", "facts", "place")
 
-    reps = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"))
-    if labels is not None:
-        reps = reps.join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
-    else:
-        reps = reps.select("set_id", F.col("id").alias("component_id"))
-    full = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "set_id").join(reps, "set_id").drop("set_id")
+    reps = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    reps = reps.withColumn("component", F.col("id")) if labels is None else reps.join(labels, "id", "left")
+    reps = materialize(reps.select("set_id", F.coalesce("component", "id").alias("component_id"), "copies"), "minhash-sets")
+    # The copies of a hot set find their component by a broadcast, the others by a join on the set.
+    share = reps.agg(F.sum("copies")).first()[0] or 0
+    is_hot = F.col("copies") * HOT_SHARE >= share
+    hot, cold = F.broadcast(reps.where(is_hot).drop("copies")), reps.where(~is_hot).drop("copies")
+    some = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "set_id")
+    full = some.join(hot, "set_id").unionByName(some.join(hot, "set_id", "left_anti").join(cold, "set_id")).drop("set_id")
     none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(none).unionByName(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

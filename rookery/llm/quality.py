@@ -14,7 +14,8 @@ short text, of which little is known, is judged like the average one.  Training
 many feature vectors reach the driver; the weights that go back are a few KB.
 
 Cases: null and empty texts have no pairs and get the average text's score.
-Without any trusted positive nothing can be rejected: every score is 1.
+Without any label nothing can be rejected: every score is 1.  Where only labels 0 are known every
+score is 0.  A very long text is a piece of its own.
 Repeated rows get equal scores; an empty table gives no rows; extra columns are
 left out (``score``) or kept (``keep_good``).
 """
@@ -109,20 +110,27 @@ def _sample(ids: DataFrame, most: int, salt: str) -> DataFrame:
     n = ids.count()
     if n <= most:
         return ids
-    return ids.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
+    return ids.where(_chosen(salt, most, n))
+
+
+def _chosen(salt: str, most: int, n: int) -> Column:
+    """Whether a row is among about ``most`` of ``n``; the hash is fine enough for any n."""
+    return F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 62)) < int((1 << 62) * min(1.0, most / max(n, 1)))
 
 
 def train(documents: DataFrame, labels: DataFrame, *, most_positive: int = 6000, most_unlabelled: int = 12000) -> Model | None:
-    """The model, or None without a trusted positive."""
+    """The model, or None without labels; where all labels are 0 its prior is 0, and so is every score."""
     usable = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     prior = usable.agg(F.avg("quality")).first()[0]
-    if not prior:
+    if prior is None:
         return None
+    nothing = Model(np.zeros(WIDTH - 1, np.float32), np.zeros(WIDTH - 1, np.float32), -500.0, 0.0)
+    if not prior:
+        return nothing
     good = _sample(usable.where("quality = 1").select("doc_id").distinct(), most_positive, "positive").withColumn("positive", F.lit(True))
     rows = documents.select("doc_id", "text").where(~held_out(F.col("doc_id")))
     n = rows.select("doc_id").count()
-    chosen = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most_unlabelled / max(n, 1)))
-    rows = rows.withColumn("unlabelled", chosen).join(F.broadcast(good), "doc_id", "left").where("positive or unlabelled")
+    rows = rows.withColumn("unlabelled", _chosen("unlabelled", most_unlabelled, n)).join(F.broadcast(good), "doc_id", "left").where("positive or unlabelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,13 +6,16 @@ than under one of ordinary identifiers, by at least ``threshold`` nats.  Both
 models are trained from labelled samples: random strings made by rule, and
 identifiers, together with long words of a bounded, stated number of documents
 (``sample_documents``) that lie in no base span.  Everything on the main path is
-built-in expressions; texts without a match pay one search per pattern.
+built-in expressions; texts without a match pay one search per pattern.  Work is linear in a
+text's length and in its number of spans: characters are split once, positions are running
+sums, and lists grow in parts.
 
 Positions are code points, ends exclusive.  A match is found leftmost first and
 without overlap per kind; one that is too short is dropped but still consumed.
 
 Cases: null and empty texts have no spans.  Repeated rows each keep theirs.
-Empty tables give empty results.  Extra columns are left out of the result.
+Empty tables give empty results.  Extra columns are left out of the result.  Of very long
+texts and tokens the whole is read.
 """
 
 from __future__ import annotations
@@ -74,14 +77,15 @@ class MarkovRatio:
 
     def flags(self, token: Column) -> Column:
         ratios = F.from_json(F.lit(json.dumps(self.table)), "array<double>")
-        symbol = lambda i: F.call_function("locate", F.substring(token, i, F.lit(1)), F.lit(SYMBOLS))
-        steps = F.aggregate(
-            F.sequence(F.lit(1), F.char_length(token)),
-            F.struct(F.lit(0).alias("at"), F.lit(0.0).cast("double").alias("sum")),
-            lambda acc, i: F.struct(symbol(i).alias("at"), (acc["sum"] + F.element_at(ratios, (acc["at"] * K + symbol(i) + 1).cast("int"))).alias("sum")),
-            lambda acc: acc["sum"],
-        )
-        return steps >= self.threshold
+        after = symbols(token)
+        before = F.concat(F.array(F.lit(0)), F.slice(after, F.lit(1), F.size(after) - 1))
+        return F.aggregate(F.zip_with(before, after, lambda a, b: F.element_at(ratios, a * K + b + 1)), F.lit(0.0).cast("double"), lambda acc, r: acc + r) >= self.threshold
+
+
+def symbols(token: Column) -> Column:
+    """The number of each character of a token, 1 to K - 1."""
+    numbers = F.from_json(F.lit(json.dumps([SYMBOLS.find(chr(i)) + 1 for i in range(128)])), "array<int>")
+    return F.transform(F.split(token, ""), lambda c: F.element_at(numbers, F.ascii(c) + 1))
 
 
 def random_samples(spark: SparkSession, n: int) -> DataFrame:
@@ -120,8 +124,7 @@ def train(samples: DataFrame, *, threshold: float = 12.0, smoothing: float = 0.5
 
     Only counts of character pairs reach the driver, at most 2 * 68 * 68 rows.
     """
-    symbols = F.transform(F.sequence(F.lit(1), F.char_length("token")), lambda i: F.call_function("locate", F.substring(F.col("token"), i, F.lit(1)), F.lit(SYMBOLS)))
-    chain = samples.where("length(token) > 0").select("random", F.concat(F.array(F.lit(0)), symbols).alias("s"))
+    chain = samples.where("length(token) > 0").select("random", F.concat(F.array(F.lit(0)), symbols(F.col("token"))).alias("s"))
     pairs = chain.select("random", F.explode(F.zip_with(F.slice("s", 1, F.size("s") - 1), F.slice("s", 2, F.size("s") - 1), lambda a, b: a * K + b)).alias("pair"))
     counts = [[0.0] * (K * K) for _ in range(2)]
     for random, pair, n in pairs.groupBy("random", "pair").count().collect():
@@ -138,22 +141,48 @@ def train(samples: DataFrame, *, threshold: float = 12.0, smoothing: float = 0.5
 
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
+#: Entries of a part of a list, which is copied when one is added; characters of a block of text.
+PART, BLOCK = 32, 1024
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _sweep(items: Column, kind: str, value, combine, made, keep=None) -> Column:
+    """``made(state, x)`` of the items with ``keep(state, x)``, in order; the state is the ``value`` of all items before, combined.
+
+    Part by part: what an aggregate carries along is copied at every step, so it must stay short.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def part(xs: Column, state: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            out = F.array_append(acc["out"], made(acc["state"], x).cast(kind))
+            if keep is not None:
+                out = F.when(keep(acc["state"], x), out).otherwise(acc["out"])
+            return F.struct(combine(acc["state"], value(x)).alias("state"), out.alias("out"))
+
+        return F.aggregate(xs, F.struct(state.alias("state"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def all_parts(parts: Column) -> Column:
+        totals = F.transform(parts, lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: combine(acc, value(x))))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(totals, zero, lambda acc, t: F.struct(combine(acc["at"], t).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(parts, starts, part))
+
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / PART).cast("int")), lambda i: F.slice(xs, i * PART + 1, F.lit(PART)))
+    return _let(items, lambda xs: F.when(F.size(xs) > 0, _let(cut(xs), all_parts)).otherwise(none))
 
 
 def _spans(text: Column, kind: str, rank: int, pattern: str, ok) -> Column:
     """Spans of ``pattern``; gaps and matches alternate, so their lengths give the positions."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("all"), ok[0](text, pattern).alias("part"))
-    none = F.array().cast(f"array<{SPAN}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["all"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")).cast(SPAN))
-        good = x["all"].isNotNull() & ok[1](x["part"])
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    sizes = F.transform(parts, lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.coalesce(F.char_length(x["all"]), F.lit(0)).alias("all"), (x["all"].isNotNull() & ok[1](x["part"])).alias("good")))
+    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + x["gap"] + x["all"]).alias("end"), F.lit(kind).alias("kind"))
+    found = _sweep(sizes, SPAN, lambda x: x["gap"] + x["all"], lambda at, n: at + n, span, lambda _, x: x["good"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _group(n: int):
@@ -175,8 +204,12 @@ def with_spans(documents: DataFrame, model: MarkovRatio | None, text: str = "tex
         own["_method"] = F.array().cast(f"array<{SPAN}>")
     df = documents.withColumns(own)
     df = df.withColumn("base_spans", F.array_sort(F.concat(*(F.col(f"_{k[0]}") for k in KINDS))))
-    new = F.filter("_method", lambda s: ~F.exists("base_spans", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return df.withColumn("all_spans", F.array_sort(F.concat(F.col("base_spans"), new)))
+    # By start, then rank, so base spans that begin where a span of the method does come before it.
+    both = F.array_sort(F.concat("base_spans", "_method"))
+    base = lambda s: s["rank"] < len(KINDS)
+    reach = lambda s: F.when(base(s), s["end"]).otherwise(0)
+    merged = _sweep(both, SPAN, reach, F.greatest, lambda _, s: s, lambda end, s: base(s) | (s["end"] > end))
+    return df.withColumn("all_spans", F.when(F.size("_method") > 0, merged).otherwise(F.col("base_spans")))
 
 
 def joined(spans: Column) -> Column:
@@ -201,16 +234,25 @@ def redact(documents: DataFrame, model: MarkovRatio, mark: str = "[SECRET]") ->
     Documents without spans, and null texts, stay as they are.
     """
     columns = documents.columns
-    df = with_spans(documents, model)
+    df = with_spans(documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), "text"), model)
     body = F.coalesce("text", F.lit(""))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.when(inside, "").otherwise(F.concat(F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    clean = F.aggregate("all_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.char_length(body))))
-    df = df.withColumn("text", F.when(F.size("all_spans") > 0, clean).otherwise(F.col("text")))
+    blocks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    end = F.struct(F.char_length(body).alias("start"), F.lit(0).alias("rank"), F.char_length(body).alias("end"), F.lit("").alias("kind")).cast(SPAN)
+    last = lambda s: s["kind"] == ""
+
+    def cut(parts: Column, a: Column, b: Column) -> Column:
+        """Characters a to b, read off the blocks they lie in."""
+        low = F.floor(a / BLOCK).cast("int")
+        some = F.array_join(F.slice(parts, low + 1, F.floor((b - 1) / BLOCK).cast("int") - low + 1), "")
+        return F.when(b > a, F.substring(some, a - low * BLOCK + 1, b - a)).otherwise("")
+
+    def rest(parts: Column) -> Column:
+        piece = lambda at, s: F.concat(cut(parts, at, s["start"]), F.when(last(s), "").otherwise(mark))
+        return F.array_join(_sweep(F.array_append("all_spans", end), "string", lambda s: s["end"], F.greatest, piece, lambda at, s: last(s) | (s["start"] >= at)), "")
+
+    clean = F.when(F.size("all_spans") > 0, _let(blocks, rest))
+    own = {c: F.col("_row").getField(c) for c in columns}
+    own["text"] = F.when(F.size("all_spans") > 0, F.col("_clean")).otherwise(F.col("text"))
     if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.when(F.size("all_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*columns)
+        own["n_chars"] = F.when(F.size("all_spans") > 0, F.char_length("_clean").cast("long")).otherwise(own["n_chars"])
+    return df.withColumn("_clean", clean).select(*(v.alias(c) for c, v in own.items()))

@@ -2,27 +2,32 @@
 
 A word is a maximal run of bytes other than space and TAB..CR; A-Z are
 lower-cased first.  A null text is an empty text.  Words are identified by a
-64-bit hash of their bytes (random byte values times powers of an odd
-constant, then a finaliser).  Memory is a small multiple of the batch's bytes,
-so callers feed ``pieces`` of about a MB.
+64-bit tabulation hash: every byte value has a random number of its own at each of
+CHUNK places, which are summed, so two words of up to CHUNK bytes are equal by
+chance once in 2**64 whatever their bytes; the sums of a longer word's chunks are
+mixed with the chunk's number before they are added.  Where equality must be
+exact, ``alike`` compares the bytes behind equal hashes.  Memory is a small multiple of the batch's
+bytes, so callers feed ``pieces`` of about a MB.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
+CHUNK = 32
 _RNG = np.random.default_rng(20240611)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = _BYTE[_LOWER]
+#: A number for every place in a chunk and every byte there, in one row.
+_PLACED = _RNG.integers(0, 2**64, (CHUNK, 256), dtype=np.uint64)[:, _LOWER].ravel()
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = [np.cumprod(np.full(1024, _STEP, dtype=np.uint64))]
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES, PIECE_ROWS = 1 << 20, 1 << 11
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,12 +41,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> np.ndarray:
-    while len(_POWERS[0]) < n:
-        _POWERS[0] = np.cumprod(np.full(2 * len(_POWERS[0]), _STEP, dtype=np.uint64))
-    return _POWERS[0]
-
-
 def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column: row i is bytes[offsets[i]:offsets[i+1]]."""
     if isinstance(texts, pa.ChunkedArray):
@@ -57,16 +56,22 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = PIECE_BYTES):
-    """Row ranges (a, b) of at most ``most`` bytes each, or of one longer row."""
+def pieces(offsets: np.ndarray, most: int = PIECE_BYTES, rows: int = PIECE_ROWS):
+    """Row ranges (a, b) of at most ``rows`` rows and ``most`` bytes each, or of one longer row."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), a + rows, n)
         yield a, b
         a = b
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; what Arrow kept for later goes back to the system when a task ends."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every word in order: its hash, its row, its first byte, its end."""
     n = len(raw)
@@ -89,11 +94,51 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     body = raw[solid]
     at = np.cumsum(length) - length
     place = np.arange(len(body), dtype=np.int64) - np.repeat(at, length)
-    h = np.add.reduceat(_BYTE[body] * _powers(int(length.max()))[place], at)
+    key = (place & (CHUNK - 1)) << 8
+    key += body
+    if length.max() <= CHUNK:
+        h = np.add.reduceat(_PLACED[key], at)
+    else:
+        begin = np.flatnonzero(place % CHUNK == 0)
+        number = (place[begin] // CHUNK).astype(np.uint64)
+        part = np.add.reduceat(_PLACED[key], begin)
+        part = np.where(number > 0, mix(part + number * _STEP), part)
+        h = np.add.reduceat(part, np.flatnonzero(number == 0))
     row = np.searchsorted(offsets, first, "right") - 1
     return mix(h + length.astype(np.uint64)), row, first, last
 
 
+def alike(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ``length`` bytes from ``a`` and from ``b`` are the same words, A-Z lower-cased."""
+    at = np.cumsum(length) - length
+    place = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(at, length)
+    differ = _LOWER[raw[np.repeat(a, length) + place]] != _LOWER[raw[np.repeat(b, length) + place]]
+    return np.add.reduceat(differ, at) == 0 if len(at) else np.zeros(0, bool)
+
+
+def exact(raw: np.ndarray, offsets: np.ndarray, k: int) -> bool:
+    """Whether equal hashes stand for equal words, and equal shingle hashes for equal runs of ``k`` words, in these rows."""
+    h, row, first, last = words(raw, offsets)
+    order = np.argsort(h, kind="stable")
+    x, y = order[:-1][h[order[1:]] == h[order[:-1]]], order[1:][h[order[1:]] == h[order[:-1]]]
+    length = last - first
+    if (length[x] != length[y]).any() or not alike(raw, first[x], first[y], length[x]).all():
+        return False
+    n = len(offsets) - 1
+    s, r = shingles(h, row, n, k)
+    count = np.bincount(row, minlength=n)
+    start, own = np.cumsum(count) - count, np.bincount(r, minlength=n)
+    start = start[r] + np.arange(len(r)) - (np.cumsum(own) - own)[r]
+    width = np.minimum(count, k)[r]
+    order = np.argsort(s, kind="stable")
+    same = s[order[1:]] == s[order[:-1]]
+    x, y = order[:-1][same], order[1:][same]
+    if (width[x] != width[y]).any():
+        return False
+    top = max(len(h) - 1, 0)
+    return all(((h[np.minimum(start[x] + j, top)] == h[np.minimum(start[y] + j, top)]) | (j >= width[x])).all() for j in range(k))
+
+
 _COMBINE = [np.uint64(int(x) | 1) for x in _RNG.integers(1, 2**63, 64, dtype=np.uint64)]
 
 

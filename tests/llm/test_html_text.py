@@ -1,9 +1,10 @@
-import pytest
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rookery.llm.html_text import extract, extract_pages, weights, tokens
+from rookery.llm.html_text import Page, best_run, extract, extract_pages, scores, train, weights
 
 W = weights({})
 PAGE = """<!DOCTYPE html><html><head><title>T words here</title><style>p{}</style><script>var t="</p>";x(1<2)</script></head><body>
@@ -44,5 +45,85 @@ def test_pages(spark):
 
 @pytest.mark.parametrize("attributes, hidden", [("style='overflow:hidden'", False), ('aria-hidden="false"', False), ("data-x=hidden", False), ("hidden", True), ('id="a" HIDDEN=""', True), ("aria-hidden=true", True), ('style="color:red; display: none"', True)])
 def test_only_hidden_elements_are_dropped(attributes, hidden):
-    text = " ".join(t for _, t, _, _ in tokens(f"<article><div {attributes}>secret words</div><p>seen</p></article>"))
-    assert ("secret" not in text) == hidden
+    assert ("secret" not in extract(f"<article><div {attributes}>secret words</div><p>seen</p></article>", W)) == hidden
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="overflow-hidden"><article><p>{}</p></article></div>',
+        '<article><p id="social-change">{}</p></article>',
+        '<article><p title="the hidden valley">{}</p></article>',
+        "<body><form action=x><nav><a>Home</a></nav><article><p>{}</p></article></form></body>",
+        "<body><form action=x><div><p>{}</p></div></form></body>",
+        '<div class="has-sidebar footer-fixed"><div class="sidebar">Some links here</div><article><p>{}</p></article></div>',
+        '<body class="nav-open cookie-banner"><p>{}</p></body>',
+        "<div><a href='/'>Home</a> <a href='/x'>Other</a></div><div><p>{}</p></div>",
+        "<article><header><h1></h1></header><p>{}</p><div class='ad-slot'>Buy one now or two</div></article>",
+        "<p title=O'Neil>{}</p>",
+    ],
+)
+def test_what_names_or_holds_the_article_is_not_lost(page):
+    text = " ".join(f"word{i}" for i in range(40))
+    assert extract(page.format(text), W) == text
+
+
+@pytest.mark.parametrize("out", ['<div class="ad">{}</div>', "<aside>{}</aside>", '<ul class="share-buttons"><li>{}</li></ul>', '<section id="comments"><article class="comment"><p>{}</p></article></section>', "<form>{}</form>", '<div role="navigation">{}</div>', '<div class="newsletter-signup">{}</div>', '<div class="cookieNotice">{}</div>', "<footer><p>{}</p></footer>", "<header>{}</header>"])
+@pytest.mark.parametrize("mark", ["article", "div"])
+def test_what_is_not_the_article_goes(out, mark):
+    text, other = " ".join(f"word{i}" for i in range(60)), " ".join(f"other{i}" for i in range(15))
+    inside = "" if "header" in out else out.format(other)  # an article's own header is the article's
+    page = f"<body>{out.format(other)}<{mark}><p>{text}</p>{inside}<p>{text}</p></{mark}>{out.format(other)}</body>"
+    assert extract(page, W) == text + "\n" + text
+
+
+def test_weights_decide():
+    """Flattened, with tags that cost nothing, the page is one region; with words that cost, none."""
+    flat = {k: 1.0 if k.startswith(("word", "mark")) else -1e-9 for k in W}
+    assert "Buy now" in extract(PAGE, flat) and "Reader says" in extract(PAGE, flat) and "Buy now" not in extract(PAGE, W)
+    assert extract(PAGE, {k: -1.0 for k in W}) == ""
+
+
+def test_marks_are_learned_from_labelled_pages(spark):
+    word = lambda n, k: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(i, f"<div class='kolumne-x'>{word(12, 'out')}</div><article><div class='fliess'>{word(50, 'in')}</div></article>") for i in range(12)]
+    model = train(spark.createDataFrame(rows, "page_id long, html string"))
+    assert model["mark:kolumne"] < 0 < model["mark:fliess"]
+    page = f"<div><div class='kolumne-y'>{word(20, 'side')}</div><p>{word(40, 'text')}</p><div class='kolumne-y'>{word(20, 'side')}</div></div>"
+    assert extract(page, model) == word(40, "text") and "side" in extract(page, W)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-5, 5), max_size=14))
+def test_best_run_is_the_best_of_all(score):
+    a, b = best_run([float(x) for x in score])
+    best = max((sum(score[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1)), default=0)
+    assert sum(score[a:b]) == max(best, 0)
+
+
+def test_region_of_a_page_is_the_best_of_all_regions():
+    page = Page("<ul><li><a>Link one</a><li><a>Link two</a></ul><p>Some words that are text</p><ul><li><a>x</a></ul><p>more words here</p><div class=ad>buy</div>")
+    score = scores(page, page.classes(W, False), W)
+    a, b = best_run(score)
+    assert sum(score[a:b]) == pytest.approx(max(sum(score[i:j]) for i in range(len(score)) for j in range(i, len(score) + 1)))
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a ='", '<a x="', "<!a", "<svg>", "</", "<p>x", "<![CDATA[", "<a " + "x=1 " * 5, "<div class='a b'>"])
+def test_long_broken_pages_take_linear_time(piece):
+    start = time.time()
+    extract(piece * (1_000_000 // len(piece)), W)
+    extract(piece * (500_000 // len(piece)) + "<p>t</p>" + piece * 1000, W)
+    assert time.time() - start < 15
+
+
+def test_queries_pages_match_their_article(spark, sf):
+    """Every page of the table: the text of its article, read another way."""
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = {r.page_id: r.html for r in pages.collect()}
+    for r in extract_pages(pages).collect():
+        body = re.search(r"<article>(.*?)</article>", rows[r.page_id], re.S).group(1)
+        lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h\d|ul|li|div|table|tr|td|blockquote|pre)\b[^>]*>", body))
+        assert r.text == "\n".join(x for x in lines if x)

@@ -4,9 +4,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from rookery.llm.language_model import LogFrequencyFilter, build_segment, levels, middle, score, train
+from rookery.llm.language_model import K0, K1, LogFrequencyFilter, build_segment, levels, middle, packed_counts, probe_segment, score, train, unpacked_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -42,18 +43,18 @@ def test_model_knows_pairs_better_than_the_base(spark):
     assert all(r.score > r.base_score for r in got if r.held_out)
 
 
-def test_filter_gives_back_levels_and_is_bounded():
+def test_filter_gives_back_levels():
     rng = np.random.default_rng(2)
     h = np.unique(rng.integers(0, 2**63, 20000, dtype=np.uint64) * np.uint64(2))
     count = rng.zipf(1.6, len(h)).clip(1, 10**6)
     shift = 4
     seg = h >> np.uint64(60)
-    whole = LogFrequencyFilter({s: build_segment(h[seg == s], count[seg == s], 1 << 30).tobytes() for s in range(16)}, shift)
+    whole = LogFrequencyFilter(pa.table({"segment": list(range(16)), "bits": pa.array([build_segment(h[seg == s], count[seg == s]).tobytes() for s in range(16)], pa.binary())}), shift)
     found = whole.level(h)
     assert (found >= levels(count)).all() and (found == levels(count)).mean() > 0.97
     assert (whole.level(rng.integers(0, 2**63, 20000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.03
-    small = build_segment(h, count, 8000)
-    assert len(small) <= 8 + 1001
+    one = np.flatnonzero(seg == 3)
+    assert (probe_segment(build_segment(h[one], count[one]).tobytes(), h[one]) == found[one]).all() and not probe_segment(None, h[one]).any()
     mid = middle(levels(count))
     assert (np.abs(mid / count - 1) < 0.5).all()
 
@@ -78,3 +79,40 @@ def test_empty_table_and_no_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (r,) = score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and math.isfinite(r.score)
+
+
+def test_score_follows_its_formula(spark):
+    """The same sum in plain Python from exact counts, quantised; only a false hit of the filter may differ."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 40)) % 300)) for i in range(300)]
+    token = {i: ["<s>", *WORD.findall(t), "</s>"] for i, t in rows}
+    single, both = Counter(), Counter()
+    for i, t in token.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            single.update(t)
+            both.update(zip(t, t[1:]))
+    n, v = sum(single.values()) - single["<s>"], len(single) - 1
+
+    def log10(a, b):
+        c = single[a]
+        k = K0 * max(c, 1) ** K1
+        pair = min(float(middle(levels(np.array([both[a, b]])))[0]), c) if both[a, b] else 0.0
+        return math.log10((pair + k * (single[b] + 1) / (n + v + 1)) / (c + k))
+
+    want = {i: sum(log10(a, b) for a, b in zip(t, t[1:])) for i, t in token.items()}
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    off = np.array([abs(got[i] - want[i]) / -want[i] for i in want])
+    assert off.max() < 0.2 and np.median(off) < 0.01, (off.max(), np.median(off))
+
+
+def test_counts_are_packed_whole():
+    n = np.array([1, 254, 255, 256, 3, 2**33])
+    assert unpacked_counts(packed_counts(n), len(n)).tolist() == n.tolist() and len(packed_counts(n)) == 6 + 24
+
+
+def test_segments_of_any_number(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 500, 40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = ({r.doc_id: r.base_score for r in score(docs, per_segment=p, head_words=8).collect()} for p in (1 << 18, 64))
+    assert few == pytest.approx(many)

@@ -2,9 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from rookery.llm.minhash import _sketch, components, keep_one, near_duplicates, signatures
+from rookery.llm.minhash import _links, _sketch, components, keep_one, near_duplicates, signatures
+from rookery.llm.textarrays import column_bytes, exact
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -115,3 +117,43 @@ def test_rows_of_null_doc_id_are_kept(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_built_to_collide_are_no_link(spark):
+    """The Thue-Morse word and its complement: equal under any hash linear in the bytes."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([("x", word), ("y", other), ("z", word.upper())], "doc_id string, text string")
+    assert {r.doc_id: (r.component_id, r.kept) for r in near_duplicates(docs).collect()} == {"x": ("x", True), "y": ("y", True), "z": ("x", False)}
+
+
+def test_links_are_right_even_if_hashes_collide(monkeypatch):
+    a = pa.array(["One two THREE four five", "a b c d", "", "x y"])
+    b = pa.array(["one two three four five", "a b c e", "", "x y"])
+    want = [True, False, False, True]
+    assert _links(a, b, 4, 80).tolist() == want
+    monkeypatch.setattr("rookery.llm.minhash.exact", lambda *_: False)
+    assert _links(a, b, 4, 80).tolist() == want
+
+
+def test_exact_sees_colliding_words(monkeypatch):
+    raw, offsets = column_bytes(pa.array(["one two three four five", "one two three four six"]))
+    assert exact(raw, offsets, 4)
+    monkeypatch.setattr("rookery.llm.textarrays._PLACED", np.ones(32 * 256, np.uint64))
+    assert not exact(raw, offsets, 4)
+
+
+def test_recall_over_thousands_of_links(spark):
+    """Families of many shapes: no link that brute force knows is lost, none is made up."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        texts += family(rng, rng.randint(2, 24), rng.choice([9, 20, 60, 150]), rng.choice([1, 3, 6]))
+    rows = list(enumerate(texts))
+    s = sets(rows, 4)
+    links = sum(100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]) for a in s for b in range(a + 1, len(s)))
+    assert links > 1500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {i: c for i, (_, c) in brute(rows, 4).items()}

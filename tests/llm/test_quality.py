@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from rookery.llm.quality import WIDTH, features, keep_good, score, train
+from rookery.llm.quality import WIDTH, _chosen, features, keep_good, score, train
 
 
 def rows():
@@ -36,13 +36,22 @@ def test_held_out_accuracy_and_kept_columns(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
 
 
-def test_without_positives_nothing_is_rejected(spark):
+def test_without_labels_nothing_is_rejected_and_with_zeros_only_everything(spark):
     docs = spark.createDataFrame([(1, "A!! B!!"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
-    assert [r.score for r in score(docs, train(docs, labels)).collect()] == [1.0, 1.0]
+    assert [r.score for r in score(docs, train(docs, labels.limit(0))).collect()] == [1.0, 1.0]
+    assert all(r.score < 1e-9 and r.predicted == 0 for r in score(docs, train(docs, labels)).collect())
     assert score(docs.limit(0), None).collect() == []
 
 
+def test_samples_are_not_empty_at_any_size(spark):
+    """Also where the share is below one in 2**20: of 16e9 rows 8e6 hold about six of a sample of 12,000."""
+    ids = spark.range(50_000).withColumnRenamed("id", "doc_id")
+    assert 300 < ids.where(_chosen("x", 500, 50_000)).count() < 700
+    assert ids.where(_chosen("x", 12_000, 10**14)).count() == 0
+    assert 0 < spark.range(8_000_000).withColumnRenamed("id", "doc_id").where(_chosen("x", 12_000, 16 * 10**9)).count() < 25
+
+
 def test_features_follow_whole_texts_and_not_their_neighbours():
     a = features(pa.array(["ab AB", None, "", "x" * 5_000_000, "ab AB"]))
     assert a.shape == (5, WIDTH) and (a[0] == a[4]).all() and not a[1].any() and not a[2].any()

@@ -2,10 +2,11 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
 
-from rookery.llm.secrets import corpus_model, identifier_samples, random_samples, redact, scan, train
+from rookery.llm.secrets import CANDIDATE, corpus_model, identifier_samples, random_samples, redact, scan, train
 
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
@@ -68,3 +69,40 @@ def test_method_adds_spans_and_redaction_takes_effect(spark, model):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert scan(docs, corpus_model(docs, samples=200)).collect() == []
+
+
+@pytest.mark.parametrize("text, least", [("x " + "aB3" * 130_000, 1), ("token=abcdef " * 20_000, 20_000), ("token=abcdef qR7xZk2LpW9vTn4BsY6mHd3G " * 8_000, 16_000)])
+def test_long_tokens_and_many_spans_take_linear_time(spark, model, text, least):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    (r,) = scan(docs, model).collect()
+    assert len(r.spans.split(",")) >= least
+    (out,) = redact(docs, model).collect()
+    assert out.text.count("[SECRET]") >= least and not re.search("abcdef|qR7x", out.text)
+    assert time.time() - start < 30
+
+
+def test_method_spans_equal_brute_force(spark, model):
+    rng = random.Random(12)
+    alphabet = string.ascii_letters + string.digits + "+/_=-"
+    word = lambda: "".join(rng.choices(alphabet, k=rng.randint(5, 60))) if rng.random() < 0.4 else rng.choice(["getUserAccountSettings", "token=", "0123456789abcdef01234567", "é", "plain", "secret:"])
+    texts = ["".join(word() + rng.choice([" ", "", ". "]) for _ in range(rng.randint(1, 30))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    clean = {r.doc_id: r.text for r in redact(docs, model).collect()}
+    for r in scan(docs, model).collect():
+        text = texts[r.doc_id]
+        own = [(m.start(), rank, m.end(), kind) for rank, (kind, p, g, least) in enumerate(PATTERNS) for m in p.finditer(text) if len(m.group(g)) >= least]
+        more = [(m.start(), 3, m.end(), "markov") for m in re.finditer(CANDIDATE, text, re.A) if model.score(m.group()) >= model.threshold]
+        more = [m for m in more if not any(b[0] <= m[0] and m[2] <= b[2] for b in own)]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(own + more))
+        gone, at = [], 0
+        for a, _, b, _ in sorted(own + more):
+            if a >= at:
+                gone += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert clean[r.doc_id] == "".join(gone) + text[at:]
+
+
+def test_clashing_columns(spark, model):
+    docs = spark.createDataFrame([(1, "secret: abcdefgh", "a", "b", "c")], "doc_id long, text string, spans string, all_spans string, _hex string")
+    assert redact(docs, model).columns == docs.columns and redact(docs, model).first()[1:] == ("[SECRET]", "a", "b", "c")
