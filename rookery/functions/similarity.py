@@ -25,6 +25,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(_both(a, b), shared(a, b) / F.size(F.array_union(a, b)))
 
 
+def jaccard_or_zero(a: Column, b: Column) -> Column:
+    """As descriptive statistics take it: 0 where a set is empty."""
+    return F.coalesce(jaccard(a, b), F.lit(0.0))
+
+
+def same_start(a: Column, b: Column, n: int = 4) -> Column:
+    """1 where two names begin with the same ``n`` characters, 0 elsewhere; an empty name has no beginning."""
+    return F.coalesce((F.substring(a, 1, n) == F.substring(b, 1, n)) & (a != ""), F.lit(False)).cast("int")
+
+
 def dice(a: Column, b: Column) -> Column:
     """Of arrays without repeats."""
     return F.when(_both(a, b), 2 * shared(a, b) / (F.size(a) + F.size(b)))

@@ -79,6 +79,24 @@ def normalize(c: Column | str) -> Column:
     return squeeze(strip_marks(F.replace(folded(c), F.lit("&"), F.lit(" and "))))
 
 
+@F.arrow_udf(StringType())
+def compat(values: pa.Array) -> pa.Array:
+    """NFKC."""
+    return pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string())
+
+
+def normalize_lower(c: Column | str) -> Column:
+    """NFKC and lower case, without case folding; marks as spaces, ``&`` as it comes."""
+    t = text(c)
+    plain = t.rlike(ASCII_ONLY)
+    return squeeze(strip_marks(F.replace(F.lower(F.coalesce(compat(F.when(~plain, t)), t)), F.lit("&"), F.lit(" and "))))
+
+
+def normalize_naive(c: Column | str) -> Column:
+    """Lower case with all but letters, digits and ``_`` as spaces.  It parts combining marks from their letters; kept to show that."""
+    return squeeze(F.regexp_replace(F.lower(text(c)), r"[^\p{L}\p{N}_\s\x0B\x1c-\x1f\x{85}]", " "))
+
+
 def country_key(c: Column | str) -> Column:
     """Partition key of a country: folded, white space collapsed, marks kept."""
     return squeeze(F.regexp_replace(folded(c), r"\p{Z}", " "))

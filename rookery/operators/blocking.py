@@ -17,8 +17,9 @@ from rookery.functions import text as T
 from rookery.operators import tfidf
 from rookery.plans.durable import materialize
 
-# Address words too common to be keys.
+# Address words too common to be keys, and what marks the second document of a record.
 KEY_ADDR_STOP = "road rd street st nagar colony near opp opposite floor no plot block sector phase main cross lane ave avenue dr drive suite ste unit apt building".split()
+ALIAS = "|tr"
 
 
 @dataclass(frozen=True)
@@ -58,11 +59,15 @@ def right(records: DataFrame) -> DataFrame:
 
 
 def exact_core(records: DataFrame) -> DataFrame:
-    """(s1_id, cand_id, source, score, pass): equal name cores, or the romanised name's core."""
+    """(s1_id, cand_id, source, score, pass): equal name cores, or the core of a target's romanised name.
+
+    Every pair of equal cores is a candidate.  Cores of more targets than others are
+    joined like all; a join that is skewed by one is split at run time.
+    """
     cores = F.filter(F.array_distinct(F.array("core", T.name_core(F.col("tr")))), lambda k: k != "")
-    keyed = lambda df: df.select("entity_id", "source", "country", F.explode(cores).alias("key"))
-    a, b = keyed(left(records)), keyed(right(records))
-    hits = a.select("country", "key", F.col("entity_id").alias("s1_id")).join(b.select("country", "key", F.col("entity_id").alias("cand_id"), "source"), ["country", "key"])
+    a = left(records).where("core <> ''").select("country", F.col("core").alias("key"), F.col("entity_id").alias("s1_id"))
+    b = right(records).select("entity_id", "source", "country", F.explode(cores).alias("key"))
+    hits = a.join(b.select("country", "key", F.col("entity_id").alias("cand_id"), "source"), ["country", "key"])
     return hits.select("s1_id", "cand_id", "source", F.lit(1.0).alias("score"), F.lit("P1").alias("pass")).distinct()
 
 
@@ -142,22 +147,26 @@ def field_vectors(records: DataFrame, field: str, cfg: BlockConfig = BlockConfig
     """(queries, documents) as weighted terms of a field (name or address).
 
     Each target source of a country is a corpus of its own, or all of a country
-    together; S1 records are queries to each.  With romanised names, names are
-    indexed in both spellings.
+    together; S1 records are queries to each.  Texts that are empty are no documents.
+    A record with a romanised name has, per source, a second document of that spelling (its id
+    ends in ALIAS), and in the corpus of a country one document of both spellings.
     """
-    if field == "name":
-        named = F.when(F.col("tr") != "", F.concat_ws(" ", "n", "tr")).otherwise(F.col("n"))
-        terms = T.char_wb_ngrams(named)
-    else:
-        terms = T.word_1_2grams(F.col("a"))
     part = F.concat_ws("|", "country", "source") if per_source else F.col("country")
-    docs = _corpus(right(records), terms, part)
+    target, asked = right(records), left(records)
     if field == "address":
-        docs = docs.join(right(records).where("a <> ''").select(F.col("entity_id").alias("id")), "id", "left_semi")
+        own, query = T.word_1_2grams(F.col("a")), T.word_1_2grams(F.col("a"))
+        target = target.where("a <> ''")
+    else:
+        query = T.char_wb_ngrams(F.col("n"))
+        both = F.when(F.col("tr") != "", F.concat_ws(" ", "n", "tr")).otherwise(F.col("n"))
+        own = query if per_source else T.char_wb_ngrams(both)
+        target = target.where("n <> ''") if per_source else target
+    docs = _corpus(target, own, part)
+    if field == "name" and per_source:
+        alias = right(records).where("tr <> ''").withColumn("entity_id", F.concat("entity_id", F.lit(ALIAS)))
+        docs = docs.unionByName(_corpus(alias, T.char_wb_ngrams(F.col("tr")), part))
     parts = right(records).select("country", part.alias("part")).distinct()
-    asked = left(records).select("entity_id", "country", terms.alias("terms"))
-    if field == "address":
-        asked = asked.where(F.size("terms") > 0)
+    asked = asked.select("entity_id", "country", query.alias("terms")).where(F.size("terms") > 0)
     asked = asked.join(parts, "country").select(F.col("entity_id").alias("id"), "part", "terms")
     vocab = tfidf.vocabulary(docs, cfg.min_df)
     return tfidf.weigh(asked, vocab), tfidf.weigh(docs, vocab)
@@ -172,11 +181,21 @@ def all_vectors(records: DataFrame, cfg: BlockConfig = BlockConfig(), per_source
     return {f: (materialize(q, f"{f}-queries"), materialize(d, f"{f}-documents")) for f, (q, d) in made.items()}
 
 
+def of_records(documents: DataFrame) -> DataFrame:
+    """Packed documents by record: of a record with two documents the romanised one, which a Latin query can meet."""
+    alias = F.col("id").endswith(ALIAS)
+    base = documents.withColumns({"_a": alias, "id": F.when(alias, F.substring_index("id", "|", 1)).otherwise(F.col("id"))})
+    best = base.groupBy("part", "id").agg(F.max_by(F.struct("terms", "weights"), F.col("_a")).alias("v"))
+    return best.select("part", "id", "v.terms", "v.weights")
+
+
 def tfidf_pass(records: DataFrame, field: str, tag: str, cfg: BlockConfig = BlockConfig(), vectors: Vectors | None = None) -> DataFrame:
-    """(s1_id, cand_id, source, score, pass): the nearest records of each source by one field."""
+    """(s1_id, cand_id, source, score, pass): the nearest documents of each source by one field; those of a romanised name are pass P4."""
     q, d = vectors[field] if vectors else field_vectors(records, field, cfg)
     hits = tfidf.cosine_search(q, d, cfg.name_top_k if field == "name" else cfg.addr_top_k)
-    return hits.select(F.col("q").alias("s1_id"), F.col("d").alias("cand_id"), F.substring("d", 1, 2).alias("source"), "score", F.lit(tag).alias("pass"))
+    alias = F.col("d").endswith(ALIAS)
+    cand = F.when(alias, F.substring_index("d", "|", 1)).otherwise(F.col("d"))
+    return hits.select(F.col("q").alias("s1_id"), cand.alias("cand_id"), F.substring("d", 1, 2).alias("source"), "score", F.when(alias, "P4").otherwise(tag).alias("pass"))
 
 
 def union_rescored(records: DataFrame, hits: DataFrame, cfg: BlockConfig = BlockConfig(), vectors: Vectors | None = None) -> DataFrame:
@@ -190,7 +209,7 @@ def union_rescored(records: DataFrame, hits: DataFrame, cfg: BlockConfig = Block
     vectors = vectors or all_vectors(records, cfg)
     for field, out in (("name", "cos_name"), ("address", "cos_addr")):
         q, d = vectors[field]
-        pairs = tfidf.cosine_pairs(pairs, q, d, out)
+        pairs = tfidf.cosine_pairs(pairs, tfidf.packed(q), of_records(tfidf.packed(d)), out)
     wn, wa = F.lit(cfg.weight_name), F.lit(cfg.weight_addr)
     score = F.round(F.greatest(wn * F.col("cos_name") + wa * F.col("cos_addr"), F.col("raw_max") * wn, F.col("cos_addr") * wa), 6)
     pairs = pairs.withColumn("score", score).where(F.col("score") >= cfg.min_output_score)
@@ -208,14 +227,14 @@ def key_block_rescored(records: DataFrame, cfg: BlockConfig = BlockConfig()) ->
     vectors = all_vectors(records, cfg, per_source=False)
     for field, out in (("name", "cos_name"), ("address", "cos_addr")):
         q, d = vectors[field]
-        pairs = tfidf.cosine_pairs(pairs, q, d, out)
+        pairs = tfidf.cosine_pairs(pairs, tfidf.packed(q), tfidf.packed(d), out)
     score = F.round(cfg.weight_name * F.col("cos_name") + cfg.weight_addr * F.col("cos_addr"), 6)
     return _trim(pairs.select(F.col("q").alias("s1_id"), F.col("d").alias("cand_id"), F.substring("d", 1, 2).alias("source"), score.alias("score")), cfg.final_top_k)
 
 
-def union_block(records: DataFrame, cfg: BlockConfig = BlockConfig()) -> DataFrame:
+def union_block(records: DataFrame, cfg: BlockConfig = BlockConfig(), vectors: Vectors | None = None) -> DataFrame:
     """All passes, united and rescored."""
-    vectors = all_vectors(records, cfg)
+    vectors = vectors or all_vectors(records, cfg)
     hits = exact_core(records).unionByName(tfidf_pass(records, "name", "P2", cfg, vectors)).unionByName(tfidf_pass(records, "address", "P3", cfg, vectors))
     return union_rescored(records, materialize(hits, "hits"), cfg, vectors)
 

@@ -1,58 +1,58 @@
 """Health of features and scores: AUC, KS, average precision, thresholds, shifts, leaks.
 
-Ranks over a whole table come from counts of distinct values where the measure
-allows it, so that no window holds all rows.
+Ranks over a whole table come from running sums over ranges of the order, so that no
+window holds all rows and no value, however frequent, is one task's.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from rookery.operators.running import running
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
-def _by_value(df: DataFrame, x: Column, y: Column) -> DataFrame:
-    """(x, n1, n0) per distinct value."""
-    base = df.select(x.cast("double").alias("x"), y.alias("y")).where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
-    return base.groupBy("x").agg(F.count(F.when(F.col("y") == 1, 1)).alias("n1"), F.count(F.when(F.col("y") == 0, 1)).alias("n0"))
+def _auc(rank: Column, y: Column, least: int, among: Column) -> tuple[Column, Column]:
+    """(rows, AUC) of the rows ``among``, from their ranks."""
+    count = lambda c: F.count(F.when(among & c, 1)).cast("double")
+    n, n1, n0 = F.count(F.when(among, 1)), count(y == 1), count(y == 0)
+    auc = (F.sum(F.when(among & (y == 1), rank)) - n1 * (n1 + 1) / 2) / (n1 * n0)
+    return n, F.when((n >= least) & (n1 > 0) & (n0 > 0), auc)
 
 
 def ordinal_auc(df: DataFrame, x: Column, y: Column, place: Column, least: int = 10) -> DataFrame:
-    """One row: AUC with ties ranked in the order of ``place``, null below ``least`` values or with one class.
+    """One row: AUC with ties ranked in the order of ``place``, null below ``least`` values or with one class."""
+    base = df.select(x.cast("double").alias("x"), y.alias("y"), place.alias("place"), F.lit(1).alias("n")).where(_finite(F.col("x")))
+    n, auc = _auc(F.col("n_upto"), F.col("y"), least, F.lit(True))
+    return running(base, ["x", "place"], ["n"]).agg(n.alias("n"), auc.alias("auc"))
 
-    Ranks are the rows of smaller values plus the place among equal ones.
-    """
-    base = df.select(x.cast("double").alias("x"), y.alias("y"), place.alias("place")).where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
-    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    below = base.groupBy("x").agg(F.count("*").alias("n")).select("x", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("below"))
-    among = Window.partitionBy("x").orderBy("place")
-    r = base.withColumn("r", F.row_number().over(among)).join(below, "x").withColumn("rank", F.col("below") + F.col("r"))
-    n1, n0 = F.count(F.when(F.col("y") == 1, 1)).cast("double"), F.count(F.when(F.col("y") == 0, 1)).cast("double")
-    auc = (F.sum(F.when(F.col("y") == 1, F.col("rank"))) - n1 * (n1 + 1) / 2) / (n1 * n0)
-    return r.agg(F.count("*").alias("n"), F.when((F.count("*") >= least) & (n1 > 0) & (n0 > 0), auc).alias("auc"))
+
+def _ks(df: DataFrame, by: list[str]) -> DataFrame:
+    """The largest distance of two classes' distribution functions, from (by, x, y)."""
+    base = df.where(_finite(F.col("x")))
+    counts = base.groupBy(*by, "x").agg(F.count(F.when(F.col("y") == 1, 1)).alias("n1"), F.count(F.when(F.col("y") == 0, 1)).alias("n0"))
+    c = running(counts, ["x"], ["n1", "n0"], by)
+    total = c.groupBy(*by).agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
+    c = c.join(total, by) if by else c.join(F.broadcast(total))  # one row
+    gap = F.when((F.col("t1") > 0) & (F.col("t0") > 0), F.abs(F.col("n1_upto") / F.col("t1") - F.col("n0_upto") / F.col("t0")))
+    return c.groupBy(*by).agg(F.max(gap).alias("ks"))
 
 
 def ks_statistic(df: DataFrame, x: Column, y: Column) -> DataFrame:
     """One row: the largest distance of the two classes' distribution functions."""
-    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    c = _by_value(df, x, y).select(F.sum("n1").over(upto).alias("c1"), F.sum("n0").over(upto).alias("c0"), F.sum("n1").over(whole).alias("t1"), F.sum("n0").over(whole).alias("t0"))
-    return c.agg(F.max(F.when((F.col("t1") > 0) & (F.col("t0") > 0), F.abs(F.col("c1") / F.col("t1") - F.col("c0") / F.col("t0")))).alias("ks"))
+    return _ks(df.select(x.cast("double").alias("x"), y.alias("y")), [])
 
 
 def average_precision(df: DataFrame, x: Column, y: Column, place: Column) -> DataFrame:
     """One row: average precision by descending score, ties in the order of ``place``."""
-    base = df.select(x.cast("double").alias("x"), y.alias("y"), place.alias("place"))
-    v = base.groupBy("x").agg(F.count("*").alias("n"), F.count(F.when(F.col("y") == 1, 1)).alias("n1"))
-    above = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
-    v = v.select("x", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("n1").over(above), F.lit(0)).alias("n1_above"))
-    among = Window.partitionBy("x").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    r = base.withColumns({"k": F.count("*").over(among), "k1": F.count(F.when(F.col("y") == 1, 1)).over(among)}).join(v, "x")
-    precision = (F.col("n1_above") + F.col("k1")) / (F.col("n_above") + F.col("k"))
-    n1 = F.count(F.when(F.col("y") == 1, 1))
-    return r.agg(F.when(n1 > 0, F.sum(F.when(F.col("y") == 1, precision)) / n1).alias("pr_auc"))
+    base = df.select(x.cast("double").alias("x"), y.alias("y"), place.alias("place"), F.lit(1).alias("n"), F.when(y == 1, 1).otherwise(0).alias("hit"))
+    r = running(base, [F.desc("x"), F.asc("place")], ["n", "hit"])
+    n1 = F.sum("hit")
+    return r.agg(F.when(n1 > 0, F.sum(F.when(F.col("hit") == 1, F.col("hit_upto") / F.col("n_upto"))) / n1).alias("pr_auc"))
 
 
 def threshold_sweep(df: DataFrame, x: Column, y: Column, thresholds: list[float]) -> DataFrame:
@@ -80,18 +80,22 @@ def distribution_shift(a: DataFrame, b: DataFrame, columns: list[str], most: flo
     return g.select("column_name", shift.alias("shift"), (shift > most).alias("shifted"))
 
 
-def feature_report(df: DataFrame, columns: list[str], label: str, place: str, hard: Column | None = None) -> DataFrame:
-    """Per feature: variance, share undefined, AUC, KS, whether constant, and AUC among hard rows."""
+def feature_report(df: DataFrame, columns: list[str], label: str, place: str, hard: Column | None = None, least: int = 10) -> DataFrame:
+    """Per feature: variance, share undefined, AUC, KS, whether constant, and AUC among hard rows.
 
-    def one(c: str) -> DataFrame:
-        x, y, at = F.col(c).cast("double"), F.col(label), F.col(place)
-        head = df.agg(F.lit(c).alias("feature"), F.coalesce(F.var_pop(x), F.lit(0.0)).alias("variance"), (1 - F.count(x) / F.greatest(F.count("*"), F.lit(1))).alias("share_null"), (F.coalesce(F.max(x) - F.min(x), F.lit(0.0)) == 0).alias("constant"))
-        out = head.join(ordinal_auc(df, x, y, at).select("auc")).join(ks_statistic(df, x, y))
-        if hard is not None:
-            out = out.join(ordinal_auc(df.where(hard), x, y, at).select(F.col("auc").alias("auc_hard")))
-        return out
-
-    return reduce(DataFrame.unionByName, [one(c) for c in columns])
+    All features go through the same few passes, as rows of one long table.
+    """
+    is_hard = F.coalesce(hard, F.lit(False)).cast("int") if hard is not None else F.lit(0)
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns)))
+    long = df.select(each.alias("s"), F.col(label).alias("y"), F.col(place).alias("place"), is_hard.alias("hard"), F.lit(1).alias("n")).select("s.feature", "s.x", "y", "place", "hard", "n")
+    head = long.groupBy("feature").agg(F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("variance"), (1 - F.count("x") / F.greatest(F.count("*"), F.lit(1))).alias("share_null"), (F.coalesce(F.max("x") - F.min("x"), F.lit(0.0)) == 0).alias("constant"))
+    r = running(long.where(_finite(F.col("x"))), ["x", "place"], ["n", "hard"], ["feature"])
+    aucs = [_auc(F.col("n_upto"), F.col("y"), least, F.lit(True))[1].alias("auc")]
+    if hard is not None:
+        aucs.append(_auc(F.col("hard_upto"), F.col("y"), least, F.col("hard") == 1)[1].alias("auc_hard"))
+    ranked = r.groupBy("feature").agg(*aucs)
+    out = head.join(ranked, "feature", "left").join(_ks(long.select("feature", "x", "y"), ["feature"]), "feature", "left")
+    return out.select("feature", "variance", "share_null", "constant", "auc", "ks", *(["auc_hard"] if hard is not None else []))
 
 
 def leak_suspects(report: DataFrame, high: float = 0.95, low: float = 0.05) -> DataFrame:

@@ -7,7 +7,10 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from rookery.functions import text as T
+from rookery.functions.similarity import jaccard_or_zero
+from rookery.operators.running import running
 
 DF_BUCKETS = [(1, 1), (2, 10), (11, 100), (101, 1000), (1001, 10000), (10001, 100000), (100001, 10**9)]
 
@@ -28,17 +31,19 @@ def top_values(df: DataFrame, column: str | Column, n: int) -> DataFrame:
     return df.groupBy(c.alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
 
 
-def nearest_quantiles(df: DataFrame, value: Column, ps: list[float]) -> DataFrame:
-    """(p, v): the value at place int(m * p) of the sorted values.
+def nearest_quantiles(df: DataFrame, value: Column, ps: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, p, v): the value at place int(m * p) of the sorted values, of each group.
 
-    Works on counts of distinct values, so only those meet in one window.
+    Works on counts of distinct values, dealt by ranges.
     """
-    counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("m", F.sum("n").over(Window.partitionBy()))
+    by = by or []
+    counts = df.select(*by, value.alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("n"))
+    ranked = running(counts, ["v"], ["n"], by)
+    m = ranked.groupBy(*by).agg(F.sum("n").alias("m"))
+    ranked = ranked.join(m, by) if by else ranked.join(F.broadcast(m))  # one row
     each = ranked.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps))))
     place = F.least(F.floor(F.col("m") * F.col("p")), F.col("m") - 1)
-    return each.where((place < F.col("upto")) & (place >= F.col("upto") - F.col("n"))).select("p", "v")
+    return each.where((place < F.col("n_upto")) & (place >= F.col("n_upto") - F.col("n"))).select(*by, "p", "v")
 
 
 def repeated_groups(df: DataFrame, value: Column) -> DataFrame:
@@ -140,6 +145,70 @@ def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int) -> Da
     return df.groupBy(F.width_bucket(F.col(column).cast("double"), F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def box(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+    """What a box plot shows of each column: quartiles, whiskers (the last values within 1.5 interquartile ranges), values outside."""
+    d = describe(df, columns, exact).select("column_name", "q1", "median", "q3", "iqr")
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns))).alias("s")).select("s.*")
+    j = long.join(F.broadcast(d), "column_name")  # one row per column
+    near = (F.col("x") >= F.col("q1") - 1.5 * F.col("iqr")) & (F.col("x") <= F.col("q3") + 1.5 * F.col("iqr"))
+    return j.groupBy("column_name", "q1", "median", "q3").agg(F.min(F.when(near, F.col("x"))).alias("low"), F.max(F.when(near, F.col("x"))).alias("high"), F.count(F.when(~near, 1)).alias("n_outside"))
+
+
+def density(df: DataFrame, column: str, lo: float, hi: float, points: int, width: float) -> DataFrame:
+    """(x, density): a Gaussian kernel estimate at ``points`` places from ``lo`` to ``hi``.
+
+    Equal values are counted first; each count is then spread over the fixed grid.
+    """
+    counts = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
+    step = (hi - lo) / (points - 1)
+    grid = [lo + i * step for i in range(points)]
+    kernel = lambda x: F.sum(F.col("n") * F.exp(-0.5 * ((F.lit(x) - F.col("v")) / width) ** 2))
+    sums = counts.agg(F.sum("n").alias("m"), F.array(*map(kernel, grid)).alias("k"))
+    at = sums.select("m", F.posexplode("k").alias("i", "k"))
+    return at.select((F.lit(lo) + F.col("i") * step).alias("x"), (F.col("k") / (F.col("m") * width * (2 * 3.141592653589793) ** 0.5)).alias("density"))
+
+
+#: Named checks of a record's name and address.
+CHECKS = {
+    "name_len_lt_3": lambda n, a: F.char_length(F.trim(n)) < 3,
+    "name_is_url": lambda n, a: F.lower(F.trim(n)).rlike(r"(https?://|www\.|\.com$|\.in$)"),
+    "name_leading_punct": lambda n, a: n.rlike(r"^[-.,/#&*]") | (n == ""),
+    "name_all_digits": lambda n, a: F.trim(n).rlike(r"^\p{Nd}+$"),
+    "addr_no_alnum": lambda n, a: (F.trim(a) != "") & ~a.rlike(r"[A-Za-z0-9\x{0900}-\x{097F}]"),
+    "control_chars": lambda n, a: n.rlike(r"[\x00-\x08\x0B-\x1F]") | a.rlike(r"[\x00-\x08\x0B-\x1F]"),
+    "name_has_tab_escape": lambda n, a: n.contains("\\t") | a.contains("\\t"),
+}
+
+
+def validity(records: DataFrame) -> DataFrame:
+    """(check, n, pct): how many records (name, address) fail each named check, in one pass; an empty name counts as led by a mark."""
+    n, a = T.text("name"), T.text("address")
+    rows = [F.struct(F.lit(k).alias("check"), F.count(F.when(f(n, a), 1)).alias("n"), F.count("*").alias("m")) for k, f in CHECKS.items()]
+    return records.agg(F.array(*rows).alias("r")).select(F.inline("r")).select("check", "n", F.when(F.col("m") > 0, F.round(100 * F.col("n") / F.col("m"), 4)).alias("pct"))
+
+
+def pair_similarity(pairs: DataFrame, ps: tuple[float, ...] = (0.10, 0.25, 0.50, 0.75, 0.90)) -> DataFrame:
+    """(measure, p, v) and the mean as p = null, over pairs with structs x and y (tokens, grams, addr): how alike true pairs are.
+
+    Two empty sets count as 0 alike; pairs without the second address are left out of its measure.
+    """
+    made = {"name_tokens": jaccard_or_zero(F.col("x.tokens"), F.col("y.tokens")), "name_grams": jaccard_or_zero(F.col("x.grams"), F.col("y.grams")), "addr_tokens": F.when(F.size("y.addr") > 0, jaccard_or_zero(F.col("x.addr"), F.col("y.addr")))}
+    long = pairs.select(F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in made.items()))).alias("s")).select("s.*").where("v is not null")
+    mean = long.groupBy("measure").agg(F.lit(None).cast("double").alias("p"), F.avg("v").alias("v"))
+    return nearest_quantiles(long, F.col("v"), list(ps), ["measure"]).unionByName(mean)
+
+
+def source_mix(truth: DataFrame) -> DataFrame:
+    """(source, n): from which sources the true partners come."""
+    return truth.groupBy(F.substring("cand_id", 1, 2).alias("source")).agg(F.count("*").alias("n"))
+
+
+def source_patterns(truth: DataFrame, entities: DataFrame) -> DataFrame:
+    """(pattern, n): in which sources entities have partners, ``none`` where they have none."""
+    own = truth.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set(F.substring("cand_id", 1, 2))), "").alias("p"))
+    return entities.select("s1_id").join(own, "s1_id", "left").groupBy(F.coalesce("p", F.lit("none")).alias("pattern")).agg(F.count("*").alias("n"))
+
+
 def match_counts(truth: DataFrame, entities: DataFrame) -> DataFrame:
     """(n_matches, n_entities): how many partners entities have, none included."""
     n = truth.groupBy("s1_id").agg(F.count("*").alias("k"))
@@ -165,4 +234,5 @@ def pair_structure(pairs: DataFrame) -> DataFrame:
         s((shared == 0) & (addr > 0.2)).alias("n_address_only"),
         s(F.col("x.country") != F.col("y.country")).alias("n_cross_country"),
         s((F.size("x.addr") == 0) | (F.size("y.addr") == 0)).alias("n_empty_address"),
+        s(T.has_devanagari(F.col("y.norm")) & ~T.has_devanagari(F.col("x.norm"))).alias("n_cross_script"),
     )

@@ -1,7 +1,7 @@
 """Every query of the library with its SQL where SQL can say it.
 
-Each takes (spark, sf_dir).  Record queries with SQL stay in built-in expressions
-(``unicode=False``) so that SQL sees the same normal form; those without SQL use the full one.
+Each takes (spark, sf_dir).  Record queries use the full normal form; one in seven target
+records bears a name in Devanagari, so romanised names, keys and documents take part.
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     return R.records_view(table(spark, d, "documents"))
 
 
-def prepared(spark: SparkSession, d: str, unicode: bool = False) -> DataFrame:
+def prepared(spark: SparkSession, d: str) -> DataFrame:
     """Per-record text is derived and written once, not once per join."""
-    return materialize(blocking.prepare(records(spark, d), unicode=unicode), "records")
+    return materialize(blocking.prepare(records(spark, d)), "records")
 
 
 def entities(recs: DataFrame) -> DataFrame:
@@ -175,7 +175,62 @@ def histogram(spark, d):
     return profile.histogram(table(spark, d, "lineitem"), "l_extendedprice", 0, 100000, 20)
 
 
+@query(_each("""SELECT '{c}' AS column_name, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3, min({c}) FILTER (near) AS low, max({c}) FILTER (near) AS high, count(*) FILTER (NOT near) AS n_outside
+  FROM (SELECT {c}, q1, med, q3, {c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS near FROM lineitem, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med, quantile_cont({c}, 0.75) AS q3 FROM lineitem)) GROUP BY q1, med, q3"""))
+def box_plot(spark, d):
+    return rounded(profile.box(table(spark, d, "lineitem"), NUMERIC))
+
+
+@query("""WITH g AS (SELECT i, 1.0 + i * 49.0 / 24 AS x FROM range(25) t(i)), v AS (SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT round(x, 6) AS x, round(sum(n * exp(-0.5 * ((x - v) / 2) ** 2)) / (sum(n) * 2 * sqrt(2 * pi())), 6) AS density FROM g, v GROUP BY x""")
+def density(spark, d):
+    return rounded(profile.density(table(spark, d, "lineitem"), "l_quantity", 1.0, 50.0, 25, 2.0))
+
+
 _RT = f"WITH {Q.RECORDS}, {Q.TRUTH}"
+_BAD = {
+    "name_len_lt_3": "length(trim(name)) < 3",
+    "name_is_url": r"regexp_matches(lower(trim(name)), '(https?://|www\.|\.com$|\.in$)')",
+    "name_leading_punct": "regexp_matches(name, '^[-.,/#&*]') OR name = ''",
+    "name_all_digits": r"regexp_matches(trim(name), '^\p{Nd}+$')",
+    "addr_no_alnum": r"trim(address) <> '' AND NOT regexp_matches(address, '[A-Za-z0-9\x{0900}-\x{097F}]')",
+    "control_chars": r"regexp_matches(name, '[\x00-\x08\x0B-\x1F]') OR regexp_matches(address, '[\x00-\x08\x0B-\x1F]')",
+    "name_has_tab_escape": r"contains(name, '\t') OR contains(address, '\t')",
+}
+
+
+@query(f"WITH {Q.RECORDS} " + " UNION ALL ".join(f"""SELECT '{k}' AS "check", count(*) FILTER ({v}) AS n, round(100 * count(*) FILTER ({v}) / count(*), 4) AS pct FROM records""" for k, v in _BAD.items()))
+def validity_checks(spark, d):
+    return profile.validity(records(spark, d))
+
+
+@query(_RT + " SELECT substr(cand_id, 1, 2) AS source, count(*) AS n FROM truth GROUP BY 1")
+def match_source_mix(spark, d):
+    return profile.source_mix(R.truth_view(records(spark, d)))
+
+
+@query(_RT + """, own AS (SELECT s1_id, array_to_string(list_sort(list_distinct(list(substr(cand_id, 1, 2)))), '') AS p FROM truth GROUP BY 1)
+SELECT coalesce(p, 'none') AS pattern, count(*) AS n FROM records LEFT JOIN own ON s1_id = entity_id WHERE source = 'S1' GROUP BY 1""")
+def source_patterns(spark, d):
+    recs = records(spark, d)
+    return profile.source_patterns(R.truth_view(recs), entities(recs))
+
+
+@query(f"WITH {Q.RECORDS} SELECT entity_id, row_number() OVER (PARTITION BY country, source ORDER BY entity_id) AS place FROM records QUALIFY place <= 25")
+def top_per_country_source(spark, d):
+    """The first 25 records of each country and source: truncation on group boundaries."""
+    recs = records(spark, d).select("entity_id", F.concat_ws("|", "country", "source").alias("s1_id"), F.col("entity_id").alias("cand_id"), F.lit(0.0).alias("score"))
+    from pyspark.sql.window import Window
+
+    kept = R.in_chunks(recs, 500, 25)
+    return kept.select("entity_id", F.row_number().over(Window.partitionBy("s1_id").orderBy("entity_id")).alias("place"))
+
+
+@query("SELECT lang FROM documents GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1")
+def first_partition(spark, d):
+    """The country that a descending order of partitions starts with."""
+    counts = R.country_counts(records(spark, d).withColumn("ck", F.col("country")))
+    return spark.createDataFrame([(R.partition_order(counts)[0],)], "lang string")
 
 
 @query(_RT + " SELECT coalesce(k, 0) AS n_matches, count(*) AS n_entities FROM records r LEFT JOIN (SELECT s1_id, count(*) AS k FROM truth GROUP BY 1) t ON t.s1_id = r.entity_id WHERE source = 'S1' GROUP BY 1")
@@ -239,75 +294,57 @@ def domain_stem(spark, d):
     return table(spark, d, "pages").select("page_id", host.alias("host")).select("page_id", "host", T.domain_stem("host").alias("stem"))
 
 
-# Written-out cases: text, full normal form, script, romanised.
-CASES = [
-    ("Straße №5 & Co", "strasse no5 and co", "LATIN", None),
-    ("AT & T", "at and t", "LATIN", None),
-    ("ＦＵＬＬ　Ｗｉｄｔｈ", "full width", "FULLWIDTH", None),
-    ("राम मार्केटिंग प्राइवेट लिमिटेड", "राम मार्केटिंग प्राइवेट लिमिटेड", "DEVANAGARI", "raam maarketing praaivet limited"),
-    ("-- Holloway Peak Inc Seafood", "holloway peak inc seafood", "LATIN", None),
-    ("1795", "1795", "NONE", None),
-    ("", "", "NONE", None),
-]
-
-
-def _cases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, text string")
-
-
-def _literal(k: int, name: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(f'({i}, ' + ('NULL' if c[k] is None else chr(39) + c[k] + chr(39)) + ')' for i, c in enumerate(CASES))}) AS t(i, {name})"
-
-
-@query(_literal(1, "norm"))
+@query(f"SELECT doc_id, {Q.norm('text', True)} AS norm FROM documents")
 def normalize_unicode(spark, d):
-    return _cases(spark).select("i", T.normalize("text").alias("norm"))
+    return table(spark, d, "documents").select("doc_id", T.normalize("text").alias("norm"))
 
 
-@query(_literal(3, "latin"))
+# Every text in Devanagari, and back.
+@query(f"SELECT doc_id, {Q.roman(Q.devanagari('text'))} AS latin FROM documents WHERE regexp_matches(lower(coalesce(text, '')), '[a-z]')")
 def transliterate(spark, d):
-    return _cases(spark).select("i", T.transliterate("text").alias("latin"))
+    deva = table(spark, d, "documents").select("doc_id", R.devanagari(T.text("text")).alias("t"))
+    return deva.where(T.has_devanagari(F.col("t"))).select("doc_id", T.transliterate("t").alias("latin"))
 
 
-@query(_literal(2, "script"))
-def dominant_script(spark, d):
-    return _cases(spark).select("i", T.dominant_script("text").alias("script"))
-
+_SCRIPTS = ["Latin", "Devanagari", "Greek", "Cyrillic", "Arabic"]
 
-# The same over all texts; SQL cannot follow.
 
-
-@query()
-def normalize_unicode_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normalize("text").alias("norm"))
+@query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {Q.devanagari("coalesce(text, '')")} ELSE coalesce(text, '') END AS t FROM documents),
+n AS ({" UNION ALL ".join(f"SELECT doc_id, '{s.upper()}' AS script, length(regexp_replace(t, '[^{chr(92)}p{{{s}}}]|{chr(92)}p{{M}}', '', 'g')) AS n FROM t" for s in _SCRIPTS)})
+SELECT doc_id, CASE WHEN max(n) = 0 THEN 'NONE' ELSE max_by(script, n) END AS script FROM n GROUP BY doc_id""")
+def dominant_script(spark, d):
+    """Every third text in Devanagari."""
+    t = T.text("text")
+    return table(spark, d, "documents").select("doc_id", T.dominant_script(F.when(F.col("doc_id") % 3 == 0, R.devanagari(t)).otherwise(t)).alias("script"))
 
 
-@query()
-def transliterate_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.transliterate("text").alias("latin"))
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_\s\x0B\x1c-\x1f\x{85}]', ' ', 'g'), '[\s\x0B\x1c-\x1f\x{85}]+', ' ', 'g')) AS norm FROM documents")
+def normalize_naive(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize_naive("text").alias("norm"))
 
 
-@query()
-def dominant_script_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.dominant_script("text").alias("script"))
+@query(f"SELECT doc_id, {Q.norm('nfc_normalize(text)')} AS norm FROM documents")
+def normalize_lower(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize_lower("text").alias("norm"))
 
 
 # ------------------------------------------------------------------ blocking
 
+_NAMED, _PLACED = "n <> ''", "a <> ''"
 _KEYED = f"{_PREP}, {Q.FREQ}, {Q.KEYS}"
 _UNION = (
-    f"{_PREP}, {Q.EXACT}, {Q.vectors('x', Q.NAME_TERMS)}, {Q.search('x', 50)}, {Q.vectors('y', Q.ADDR_TERMS, chr(97) + ' <> ' + chr(39) * 2)}, {Q.search('y', 30)}"
+    f"{_PREP}, {Q.EXACT}, {Q.vectors('x', Q.NAME_TERMS, _NAMED)}, {Q.search('x', 50)}, {Q.by_record('x')}, {Q.vectors('y', Q.ADDR_TERMS, _PLACED)}, {Q.search('y', 30)}"
     """, hits AS (
-  SELECT s1_id, cand_id, source, 1.0 AS score, 'P1' AS pass FROM p1hits UNION ALL SELECT q, d, substr(d, 1, 2), score, 'P2' FROM xtop UNION ALL SELECT q, d, substr(d, 1, 2), score, 'P3' FROM ytop
+  SELECT s1_id, cand_id, source, 1.0 AS score, 'P1' AS pass FROM p1hits UNION ALL SELECT q, split_part(d, '|', 1), substr(d, 1, 2), score, CASE WHEN d LIKE '%|tr' THEN 'P4' ELSE 'P2' END FROM xtop UNION ALL SELECT q, d, substr(d, 1, 2), score, 'P3' FROM ytop
 ), u AS (
   SELECT s1_id, cand_id, source, array_to_string(list_sort(list_distinct(list(pass))), '+') AS passes, max(score) AS raw FROM hits GROUP BY ALL
 ), sc AS (
   SELECT u.s1_id, u.cand_id, u.source, passes, round(greatest(0.6 * coalesce(x.score, 0) + 0.4 * coalesce(y.score, 0), raw * 0.6, coalesce(y.score, 0) * 0.4), 6) AS score
-  FROM u LEFT JOIN xcos x ON x.q = s1_id AND x.d = cand_id LEFT JOIN ycos y ON y.q = s1_id AND y.d = cand_id
+  FROM u LEFT JOIN xrec x ON x.q = s1_id AND x.d = cand_id LEFT JOIN ycos y ON y.q = s1_id AND y.d = cand_id
 ), united AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS rank FROM sc QUALIFY rank <= 150)"""
 )
 _RESCORED = (
-    f"{_KEYED}, {Q.vectors('x', Q.NAME_TERMS, per_source=False)}, {Q.vectors('y', Q.ADDR_TERMS, chr(97) + ' <> ' + chr(39) * 2, per_source=False)}"
+    f"{_KEYED}, {Q.vectors('x', Q.NAME_TERMS, per_source=False, docs=Q.BOTH_TERMS)}, {Q.vectors('y', Q.ADDR_TERMS, _PLACED, per_source=False)}"
     """, sc AS (
   SELECT s1_id, cand_id, substr(cand_id, 1, 2) AS source, round(0.6 * coalesce(x.score, 0) + 0.4 * coalesce(y.score, 0), 6) AS score
   FROM kc LEFT JOIN xcos x ON x.q = s1_id AND x.d = cand_id LEFT JOIN ycos y ON y.q = s1_id AND y.d = cand_id
@@ -336,12 +373,12 @@ def block_composite_keys_capped(spark, d):
     return blocking.key_candidates(prepared(spark, d))
 
 
-@query(f"{_PREP}, {Q.vectors('x', Q.NAME_TERMS)}, {Q.search('x', 50)} SELECT q AS s1_id, d AS cand_id, substr(d, 1, 2) AS source, score, 'P2' AS pass FROM xtop")
+@query(f"{_PREP}, {Q.vectors('x', Q.NAME_TERMS, _NAMED)}, {Q.search('x', 50)} SELECT q AS s1_id, split_part(d, '|', 1) AS cand_id, substr(d, 1, 2) AS source, score, CASE WHEN d LIKE '%|tr' THEN 'P4' ELSE 'P2' END AS pass FROM xtop")
 def tfidf_name_topk(spark, d):
     return blocking.tfidf_pass(prepared(spark, d), "name", "P2")
 
 
-@query(f"{_PREP}, {Q.vectors('y', Q.ADDR_TERMS, chr(97) + ' <> ' + chr(39) * 2)}, {Q.search('y', 30)} SELECT q AS s1_id, d AS cand_id, substr(d, 1, 2) AS source, score, 'P3' AS pass FROM ytop")
+@query(f"{_PREP}, {Q.vectors('y', Q.ADDR_TERMS, _PLACED)}, {Q.search('y', 30)} SELECT q AS s1_id, d AS cand_id, substr(d, 1, 2) AS source, score, 'P3' AS pass FROM ytop")
 def tfidf_addr_topk(spark, d):
     return blocking.tfidf_pass(prepared(spark, d), "address", "P3")
 
@@ -372,14 +409,14 @@ def v0_rare_token_block(spark, d):
 # ------------------------------------------------------------------ pair features
 
 
-def exact_pairs(spark, d, unicode: bool = False) -> tuple[DataFrame, DataFrame]:
+def exact_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
     recs = records(spark, d)
-    return blocking.exact_core(blocking.prepare(recs, unicode=unicode)).select("s1_id", "cand_id", "score"), recs
+    return blocking.exact_core(blocking.prepare(recs)).select("s1_id", "cand_id", "score"), recs
 
 
-def pair_records(spark, d, columns: dict, unicode: bool = False) -> DataFrame:
-    pairs, recs = exact_pairs(spark, d, unicode)
-    df = features.with_records(pairs, features.prepare(recs, unicode=unicode))
+def pair_records(spark, d, columns: dict) -> DataFrame:
+    pairs, recs = exact_pairs(spark, d)
+    df = features.with_records(pairs, features.prepare(recs))
     return rounded(df.select("s1_id", "cand_id", *(c.alias(n) for n, c in columns.items())))
 
 
@@ -417,7 +454,7 @@ e AS (SELECT s1_id, cand_id, unnest(list_intersect(lt, rt)) AS token FROM pr), s
 SELECT s1_id, cand_id, round(coalesce(t, 0), 6) AS idf_weighted_overlap, round(coalesce(m, 0), 6) AS max_idf_shared FROM pr LEFT JOIN s USING (s1_id, cand_id)""")
 def idf_overlap(spark, d):
     pairs, recs = exact_pairs(spark, d)
-    prep = features.prepare(recs, unicode=False)
+    prep = features.prepare(recs)
     df = features.with_records(pairs, prep)
     df = features.idf_overlap(df, features.idf(prep, "tokens"), F.col("l.tokens"), F.col("r.tokens"), "idf_weighted_overlap", "max_idf_shared")
     return rounded(df.select("s1_id", "cand_id", "idf_weighted_overlap", "max_idf_shared"))
@@ -446,12 +483,12 @@ def missingness_flags(spark, d):
 
 @query()
 def fuzzy_ratios(spark, d):
-    return pair_records(spark, d, features.fuzzy_features() | {"name_seqratio": S.fuzzy_sequence(F.col("l.norm"), F.col("r.norm"))}, unicode=True)
+    return pair_records(spark, d, features.fuzzy_features() | {"name_seqratio": S.fuzzy_sequence(F.col("l.norm"), F.col("r.norm"))})
 
 
 @query()
 def feature_matrix_77(spark, d):
-    pairs, recs = exact_pairs(spark, d, unicode=True)
+    pairs, recs = exact_pairs(spark, d)
     return rounded(features.featurize(pairs, recs))
 
 
@@ -565,7 +602,7 @@ def f05_per_entity(spark, d):
     return rounded(evaluate.per_entity(*_matched(spark, d)))
 
 
-@query(f"{_UNION}, {Q.TRUTH}" + """, f AS (SELECT t.*, EXISTS (FROM p1hits h WHERE h.s1_id = t.s1_id AND h.cand_id = t.cand_id) AS a, EXISTS (FROM xtop h WHERE h.q = t.s1_id AND h.d = t.cand_id) AS b, EXISTS (FROM ytop h WHERE h.q = t.s1_id AND h.d = t.cand_id) AS c FROM truth t)
+@query(f"{_UNION}, {Q.TRUTH}" + """, f AS (SELECT t.*, EXISTS (FROM p1hits h WHERE h.s1_id = t.s1_id AND h.cand_id = t.cand_id) AS a, EXISTS (FROM xtop h WHERE h.q = t.s1_id AND split_part(h.d, '|', 1) = t.cand_id) AS b, EXISTS (FROM ytop h WHERE h.q = t.s1_id AND h.d = t.cand_id) AS c FROM truth t)
 SELECT pass, hits, total, round(hits / total, 6) AS recall FROM (SELECT 'P1' AS pass, count(*) FILTER (a) AS hits, count(*) AS total FROM f UNION ALL SELECT 'P1+P2', count(*) FILTER (a OR b), count(*) FROM f UNION ALL SELECT 'P1+P2+P3', count(*) FILTER (a OR b OR c), count(*) FROM f)""")
 def pair_completeness(spark, d):
     p = prepared(spark, d)
@@ -583,6 +620,41 @@ def recall_at_k(spark, d):
     return rounded(evaluate.recall_at_k(blocking.key_block_rescored(p), R.truth_view(p), _KS))
 
 
+_STRATUM = "CASE WHEN EXISTS (FROM g WHERE entity_id = t.cand_id AND tr <> '') THEN 'cross' ELSE 'same' END AS script"
+
+
+def _by_script(p: DataFrame) -> DataFrame:
+    """The truth with whether partners are written in another script."""
+    kind = p.select(F.col("entity_id").alias("cand_id"), F.when(F.col("tr") != "", "cross").otherwise("same").alias("script"))
+    return R.truth_view(p).join(kind, "cand_id")
+
+
+@query(f"{_UNION}, {Q.TRUTH}" + f""", f AS (SELECT {_STRATUM}, EXISTS (FROM p1hits h WHERE h.s1_id = t.s1_id AND h.cand_id = t.cand_id) AS a, EXISTS (FROM xtop h WHERE h.q = t.s1_id AND split_part(h.d, '|', 1) = t.cand_id) AS b, EXISTS (FROM ytop h WHERE h.q = t.s1_id AND h.d = t.cand_id) AS c,
+  EXISTS (FROM united h WHERE h.s1_id = t.s1_id AND h.cand_id = t.cand_id) AS u FROM truth t)
+SELECT script, pass, hits, total, round(hits / total, 6) AS recall FROM (SELECT script, 'P1' AS pass, count(*) FILTER (a) AS hits, count(*) AS total FROM f GROUP BY 1 UNION ALL SELECT script, 'P1+P2', count(*) FILTER (a OR b), count(*) FROM f GROUP BY 1
+  UNION ALL SELECT script, 'P1+P2+P3', count(*) FILTER (a OR b OR c), count(*) FROM f GROUP BY 1)""")
+def pair_completeness_by_script(spark, d):
+    p = prepared(spark, d)
+    passes = [("P1", blocking.exact_core(p)), ("P1+P2", blocking.tfidf_pass(p, "name", "P2")), ("P1+P2+P3", blocking.tfidf_pass(p, "address", "P3"))]
+    return rounded(evaluate.pair_completeness(passes, _by_script(p), "script"))
+
+
+@query(f"{_UNION}, {Q.TRUTH}, ks AS (SELECT unnest({_KS}) AS k), tt AS (SELECT {_STRATUM}, t.* FROM truth t)" + """,
+names AS (SELECT q AS s1_id, cand_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, cand_id) AS rank FROM (SELECT q, split_part(d, '|', 1) AS cand_id, max(score) AS score FROM xtop GROUP BY ALL)),
+s AS (SELECT 'name' AS strategy, s1_id, cand_id, rank FROM names UNION ALL SELECT 'union', s1_id, cand_id, rank FROM united),
+c AS (SELECT strategy, k, count(*) AS candidates FROM s, ks WHERE rank <= k GROUP BY ALL),
+h AS (SELECT strategy, script, k, count(*) AS hits FROM s JOIN tt USING (s1_id, cand_id), ks WHERE rank <= k GROUP BY ALL), n AS (SELECT script, count(*) AS total FROM tt GROUP BY 1)
+SELECT strategy, script, k, coalesce(hits, 0) AS hits, candidates, round(coalesce(hits, 0) / total, 6) AS recall FROM c CROSS JOIN n LEFT JOIN h USING (strategy, script, k)""")
+def recall_by_strategy(spark, d):
+    """Recall at each K by strategy (names alone, the union of passes) and by script of the true partner."""
+    p = prepared(spark, d)
+    vectors = blocking.all_vectors(p)
+    names = blocking.tfidf_pass(p, "name", "P2", vectors=vectors).groupBy("s1_id", "cand_id").agg(F.max("score").alias("score"))
+    names = assign.ranked(names, "score").select("s1_id", "cand_id", "rank", F.lit("name").alias("strategy"))
+    united = blocking.union_block(p, vectors=vectors).select("s1_id", "cand_id", "rank", F.lit("union").alias("strategy"))
+    return rounded(evaluate.recall_at_k(materialize(names.unionByName(united), "strategies"), _by_script(p), _KS, ["strategy", "script"]))
+
+
 @query(_KEYED + """ SELECT country, coalesce(n, 0) AS n_candidates, a * b AS n_brute, round(CASE WHEN a * b > 0 THEN 1 - coalesce(n, 0) / (a * b) END, 6) AS reduction
 FROM (SELECT country, count(*) FILTER (source = 'S1') AS a, count(*) FILTER (source <> 'S1') AS b FROM records GROUP BY 1) LEFT JOIN (SELECT country, count(*) AS n FROM kc GROUP BY 1) USING (country)""")
 def reduction_ratio(spark, d):
@@ -611,7 +683,7 @@ def label_join(spark, d):
 
 @query(f"""{_PAIR}, {Q.TRUTH}, z AS (SELECT * FROM truth JOIN f l ON l.entity_id = s1_id JOIN f r ON r.entity_id = cand_id), q AS (SELECT l.*, r.* FROM (SELECT 1) , f l, f r WHERE false)
 SELECT count(*) AS n_pairs, count(*) FILTER (x.n = y.n) AS n_exact, count(*) FILTER (len(list_intersect(x.nt, y.nt)) > 0) AS n_shared_token, count(*) FILTER (len(list_intersect(x.grams3, y.grams3)) >= 2) AS n_two_grams,
-  count(*) FILTER (len(list_intersect(x.nt, y.nt)) = 0 AND len(list_intersect(x.aw, y.aw)) / greatest(len(list_distinct(list_concat(x.aw, y.aw))), 1) > 0.2) AS n_address_only, count(*) FILTER (x.country <> y.country) AS n_cross_country, count(*) FILTER (len(x.aw) = 0 OR len(y.aw) = 0) AS n_empty_address
+  count(*) FILTER (len(list_intersect(x.nt, y.nt)) = 0 AND len(list_intersect(x.aw, y.aw)) / greatest(len(list_distinct(list_concat(x.aw, y.aw))), 1) > 0.2) AS n_address_only, count(*) FILTER (x.country <> y.country) AS n_cross_country, count(*) FILTER (len(x.aw) = 0 OR len(y.aw) = 0) AS n_empty_address, count(*) FILTER (y.tr <> '' AND x.tr = '') AS n_cross_script
 FROM truth JOIN f x ON x.entity_id = s1_id JOIN f y ON y.entity_id = cand_id""".replace(", z AS (SELECT * FROM truth JOIN f l ON l.entity_id = s1_id JOIN f r ON r.entity_id = cand_id), q AS (SELECT l.*, r.* FROM (SELECT 1) , f l, f r WHERE false)", ""))
 def true_pair_structure(spark, d):
     p = prepared(spark, d)
@@ -620,6 +692,33 @@ def true_pair_structure(spark, d):
     return profile.pair_structure(pairs)
 
 
+def true_pairs(spark, d) -> DataFrame:
+    """The truth with structs x and y of both records."""
+    p = prepared(spark, d)
+    rec = p.select("entity_id", F.struct(F.col("n").alias("norm"), F.col("nt").alias("tokens"), T.ngrams(F.col("n")).alias("grams"), F.col("at").alias("addr"), "country").alias("rec"))
+    return R.truth_view(p).join(rec.select(F.col("entity_id").alias("s1_id"), F.col("rec").alias("x")), "s1_id").join(rec.select(F.col("entity_id").alias("cand_id"), F.col("rec").alias("y")), "cand_id")
+
+
+@query(f"""{_PAIR}, {Q.TRUTH}, v AS (
+  SELECT unnest([{{'measure': 'name_tokens', 'v': coalesce({_jac('list_distinct(x.nt)', 'list_distinct(y.nt)')}, 0)}}, {{'measure': 'name_grams', 'v': coalesce({_jac('x.grams3', 'y.grams3')}, 0)}},
+                 {{'measure': 'addr_tokens', 'v': CASE WHEN len(y.aw) > 0 THEN coalesce({_jac('list_distinct(x.aw)', 'list_distinct(y.aw)')}, 0) END}}], recursive := true)
+  FROM truth JOIN f x ON x.entity_id = s1_id JOIN f y ON y.entity_id = cand_id),
+r AS (SELECT measure, v, row_number() OVER (PARTITION BY measure ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY measure) AS m FROM v WHERE v IS NOT NULL), ps(p) AS (VALUES (0.1), (0.25), (0.5), (0.75), (0.9))
+SELECT measure, CAST(p AS DOUBLE) AS p, round(v, 6) AS v FROM r, ps WHERE i = least(CAST(floor(m * CAST(p AS DOUBLE)) AS BIGINT), m - 1) UNION ALL SELECT measure, NULL, round(avg(v), 6) FROM r GROUP BY measure""")
+def true_pair_similarity(spark, d):
+    return rounded(profile.pair_similarity(true_pairs(spark, d)))
+
+
+@query(f"""{_PAIR} SELECT s1_id, cand_id, CAST(coalesce(substr(ln, 1, 4) = substr(rn, 1, 4) AND ln <> '', false) AS INT) AS name_prefix4_match, abs(length(ln) - length(rn)) AS name_len_diff,
+  round(CASE WHEN len(lt) > 0 AND len(rt) > 0 THEN {_inter('lt', 'rt')} / least(len(lt), len(rt)) ELSE 0 END, 6) AS name_overlap, round(coalesce({_jac('la', 'ra')}, 0), 6) AS addr_jaccard FROM pr""")
+def pair_matrix(spark, d):
+    """The plain measures of the exploratory pair matrix."""
+    pairs, recs = exact_pairs(spark, d)
+    df = features.with_records(pairs, features.prepare(recs))
+    ln, rn = F.col("l.norm"), F.col("r.norm")
+    return rounded(df.select("s1_id", "cand_id", S.same_start(ln, rn).alias("name_prefix4_match"), F.abs(F.char_length(ln) - F.char_length(rn)).alias("name_len_diff"), S.overlap(F.col("l.tokens"), F.col("r.tokens")).alias("name_overlap"), S.jaccard_or_zero(F.col("l.addr_tokens"), F.col("r.addr_tokens")).alias("addr_jaccard")))
+
+
 # ------------------------------------------------------------------ diagnostics
 
 
@@ -659,10 +758,15 @@ def distribution_shift(spark, d):
     return rounded(diagnostics.distribution_shift(li.where(~v), li.where(v), NUMERIC))
 
 
-@query()
+@query(_each(f"""SELECT '{{c}}' AS feature, round(var_pop({{c}}), 4) AS variance, 1 - count({{c}}) / greatest(count(*), 1) AS share_null, max({{c}}) = min({{c}}) AS constant,
+  (SELECT round((sum(r) FILTER (y = 1) - CAST(count(*) FILTER (y = 1) AS DOUBLE) * (count(*) FILTER (y = 1) + 1) / 2) / (CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0)), 6) FROM (SELECT quality AS y, row_number() OVER (ORDER BY {{c}}, doc_id) AS r FROM {_LABELLED})) AS auc,
+  (SELECT round(max(abs(ca / ta - cb / tb)), 6) FROM (SELECT sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER (ORDER BY x) AS cb, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM (SELECT {{c}} AS x, count(*) FILTER (quality = 1) AS a, count(*) FILTER (quality = 0) AS b FROM {_LABELLED} GROUP BY 1))) AS ks,
+  (SELECT round((sum(r) FILTER (y = 1) - CAST(count(*) FILTER (y = 1) AS DOUBLE) * (count(*) FILTER (y = 1) + 1) / 2) / (CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0)), 6) FROM (SELECT quality AS y, row_number() OVER (ORDER BY {{c}}, doc_id) AS r FROM {_LABELLED} WHERE n_chars > 1000)) AS auc_hard
+  FROM {_LABELLED}""", ["n_chars", "len", "toxic"]))
 def feature_report(spark, d):
     df = labelled_docs(spark, d)
-    return rounded(diagnostics.feature_report(df, ["n_chars", "len", "toxic"], "quality", "doc_id", F.col("n_chars") > 1000))
+    report = diagnostics.feature_report(df, ["n_chars", "len", "toxic"], "quality", "doc_id", F.col("n_chars") > 1000)
+    return rounded(report.withColumn("variance", F.round("variance", 4)))
 
 
 # ------------------------------------------------------------------ samples and outputs
@@ -703,16 +807,31 @@ def wide_results(spark, d):
     return sinks.wide(assign.threshold_assign(pred), s1, "matched_entity_ids", "prob")
 
 
-@query("SELECT * FROM (VALUES ('missing entity', 0), ('entity not required', 0), ('entity repeated', 0), ('id of another source', 0), ('id repeated', 0), ('unknown id', 0)) AS t(rule, n)")
+# A wide file with faults by rule: some entities are left out, some are others', some rows come twice, some ids are wrong.
+_FAULTY = """, w AS (SELECT s1_id, string_agg(cand_id, ',') AS ids, count(*) AS n FROM p1hits GROUP BY 1), b AS (SELECT entity_id, doc_id, coalesce(ids, '') AS ids FROM records LEFT JOIN w ON s1_id = entity_id WHERE source = 'S1'),
+faulty AS (SELECT CASE WHEN doc_id % 11 = 4 THEN 'S1-x' || doc_id ELSE entity_id END AS s1_id, list_filter(string_split(concat_ws(',', nullif(ids, ''), CASE WHEN doc_id % 13 = 5 THEN entity_id END, CASE WHEN doc_id % 17 = 6 THEN 'S2-none' END, CASE WHEN doc_id % 19 = 7 THEN 'S3-no,S3-no' END), ','), lambda x: x <> '') AS ids
+  FROM b, (SELECT unnest([0, 1]) AS copy) WHERE doc_id % 7 <> 3 AND (copy = 0 OR doc_id % 23 = 8)),
+each AS (SELECT s1_id, unnest(ids) AS id FROM faulty), need AS (SELECT entity_id AS s1_id FROM records WHERE source = 'S1')
+SELECT 'missing entity' AS rule, count(*) AS n FROM need WHERE s1_id NOT IN (SELECT s1_id FROM faulty) UNION ALL SELECT 'entity not required', count(*) FROM faulty WHERE s1_id NOT IN (SELECT s1_id FROM need)
+UNION ALL SELECT 'entity repeated', count(*) FROM (SELECT s1_id FROM faulty GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'id of another source', count(*) FROM each WHERE NOT regexp_matches(id, '^S[23]-')
+UNION ALL SELECT 'id repeated', count(*) FROM faulty WHERE len(ids) > len(list_distinct(ids)) UNION ALL SELECT 'unknown id', count(*) FROM each WHERE id NOT IN (SELECT entity_id FROM records)"""
+
+
+@query(f"{_PREP}, {Q.EXACT}" + _FAULTY)
 def submission_violations(spark, d):
     p = prepared(spark, d)
-    return sinks.violations(sinks.wide(blocking.exact_core(p), entities(p)), entities(p), p)
+    rows = sinks.wide(blocking.exact_core(p), entities(p)).join(p.select(F.col("entity_id").alias("source1_entity_id"), "doc_id"), "source1_entity_id")
+    at = lambda m, r: F.col("doc_id") % m == r
+    ids = F.concat_ws(",", F.when(F.col("candidate_entity_ids") != "", F.col("candidate_entity_ids")), F.when(at(13, 5), F.col("source1_entity_id")), F.when(at(17, 6), "S2-none"), F.when(at(19, 7), "S3-no,S3-no"))
+    rows = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).where(~at(7, 3) & ((F.col("copy") == 0) | at(23, 8)))
+    rows = rows.select(F.when(at(11, 4), F.concat(F.lit("S1-x"), F.col("doc_id").cast("string"))).otherwise(F.col("source1_entity_id")).alias("source1_entity_id"), ids.alias("candidate_entity_ids"))
+    return sinks.violations(rows, entities(p), p)
 
 
 @query(f"{_PREP}, {Q.EXACT} SELECT entity_id, name, address FROM records WHERE entity_id IN (SELECT cand_id FROM p1hits)")
 def referenced_records(spark, d):
     recs = records(spark, d)
-    ids = blocking.exact_core(blocking.prepare(recs, unicode=False)).select(F.col("cand_id").alias("id"))
+    ids = blocking.exact_core(blocking.prepare(recs)).select(F.col("cand_id").alias("id"))
     return R.referenced(recs, ids).select("entity_id", "name", "address")
 
 
@@ -721,10 +840,10 @@ def referenced_records(spark, d):
 
 def _trained(spark, d):
     recs = records(spark, d)
-    pairs = materialize(blocking.key_block_rescored(prepared(spark, d, unicode=True)), "pairs")
+    pairs = materialize(blocking.key_block_rescored(prepared(spark, d)), "pairs")
     x = evaluate.labelled(features.featurize(pairs, recs), R.truth_view(recs))
     x = materialize(x, "pair-features")
-    return model.score(model.train(x, features.COLUMNS, trees=20), x, features.COLUMNS), entities(recs)
+    return model.score(model.train(x, features.COLUMNS), x, features.COLUMNS), entities(recs)
 
 
 @query()

@@ -6,13 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and all its tasks run in this process, as in tests.
 UNSET_DIR = "/tmp/checkpoints/rookery"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or UNSET_DIR
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return UNSET_DIR
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

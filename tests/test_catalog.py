@@ -8,9 +8,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from rookery.functions import similarity as S
 from rookery.functions import text as T
 from rookery.operators.features import COLUMNS
 from rookery.plans import catalog
+from rookery.sources import records as R
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -47,10 +49,29 @@ def test_text_queries_over_all_documents(spark, sf):
     texts = {r.doc_id: r.text or "" for r in catalog.table(spark, sf, "documents").select("doc_id", "text").collect()}
     folded = spark.createDataFrame([(i, unicodedata.normalize("NFKC", t).casefold()) for i, t in texts.items()], "doc_id long, text string")
     want = {r.doc_id: r.norm for r in folded.select("doc_id", T.normalize_native("text").alias("norm")).collect()}
-    assert {r.doc_id: r.norm for r in catalog.normalize_unicode_documents(spark, sf).collect()} == want
-    assert {r.doc_id: r.script for r in catalog.dominant_script_documents(spark, sf).collect()} == {i: T.script_of(t) for i, t in texts.items()}
+    assert {r.doc_id: r.norm for r in catalog.normalize_unicode(spark, sf).collect()} == want
+    deva = {r.doc_id: r.t for r in catalog.table(spark, sf, "documents").select("doc_id", R.devanagari(T.text("text")).alias("t")).collect()}
+    assert {r.doc_id: r.script for r in catalog.dominant_script(spark, sf).collect()} == {i: T.script_of(deva[i] if i % 3 == 0 else t) for i, t in texts.items()}
     letters = re.compile("[\u0900-\u097f]")
-    assert {r.doc_id: r.latin for r in catalog.transliterate_documents(spark, sf).collect()} == {i: T.romanize(t) if letters.search(t) else None for i, t in texts.items()}
+    assert {r.doc_id: r.latin for r in catalog.transliterate(spark, sf).collect()} == {i: T.romanize(t) for i, t in deva.items() if letters.search(t)}
+
+
+def test_romanised_names_take_part(spark, sf):
+    """Some hits come from second documents, and some true partners are written in another script."""
+    assert {r["pass"] for r in catalog.tfidf_name_topk(spark, sf).select("pass").distinct().collect()} == {"P2", "P4"}
+    assert catalog.true_pair_structure(spark, sf).first().n_cross_script > 0
+    assert catalog.prepared(spark, sf).where("tr <> ''").count() > 10
+
+
+def test_fuzzy_ratios_equal_brute_force(spark, sf):
+    recs = {r.entity_id: r for r in catalog.prepared(spark, sf).collect()}
+    rows = catalog.fuzzy_ratios(spark, sf).collect()
+    assert len(rows) > 20
+    cut = lambda v: round(v if v >= S.CUTOFF else 0.0, 6)
+    for r in rows:
+        x, y = recs[r.s1_id].n, recs[r.cand_id].n
+        assert (r.name_ratio, r.name_token_sort_ratio, r.name_token_set_ratio) == (cut(S.ratio(x, y)), cut(S.token_sort_ratio(x, y)), cut(S.token_set_ratio(x, y)))
+        assert r.name_seqratio == round(S.sequence_ratio(x, y), 6)
 
 
 def test_queries_without_sql_use_the_full_normal_form(spark, sf, monkeypatch):

@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 
 from rookery.functions import similarity as S
 from rookery.functions import text as T
-from rookery.operators import assign, blocking, diagnostics, evaluate, features, model, sampling, windows
+from rookery.operators import assign, blocking, diagnostics, evaluate, features, model, sampling, tfidf, windows
+from rookery.operators.running import running
+from rookery.plans import durable
 from rookery.sources import records as R
 from rookery.sources import sinks
+from rookery.streaming.matching import candidate_rates, match_stream
 
 
 def one(spark, column, **values):
@@ -169,3 +172,168 @@ def test_stream(spark, tmp_path):
     q = match_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), targets, lambda df, n: found.extend(df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert [(r.s1_id, r.cand_id) for r in found] == [("S1-1", "S2-1")]
+
+
+def test_text_forms(spark):
+    """Written-out cases: full normal form, script, romanised."""
+    cases = [
+        ("Straße №5 & Co", "strasse no5 and co", "LATIN", None), ("AT & T", "at and t", "LATIN", None), ("ＦＵＬＬ　Ｗｉｄｔｈ", "full width", "FULLWIDTH", None),
+        ("राम मार्केटिंग प्राइवेट लिमिटेड", "राम मार्केटिंग प्राइवेट लिमिटेड", "DEVANAGARI", "raam maarketing praaivet limited"),
+        ("-- Holloway Peak Inc Seafood", "holloway peak inc seafood", "LATIN", None), ("1795", "1795", "NONE", None), ("", "", "NONE", None),
+    ]
+    for raw, norm, script, latin in cases:
+        assert (one(spark, T.normalize("s"), s=raw), one(spark, T.dominant_script("s"), s=raw), one(spark, T.transliterate("s"), s=raw)) == (norm, script, latin)
+    assert one(spark, T.normalize_naive("s"), s="लिमिटेड") != "लिमिटेड" and one(spark, T.normalize_lower("s"), s="STRASSE & ß") == "strasse and ß"
+
+
+def test_set_measures_where_a_set_is_empty(spark):
+    df = spark.createDataFrame([(["a", "b"], ["b"], "abcdx", "abcdy"), ([], ["b"], "", ""), (["a"], ["c"], None, "x")], "x array<string>, y array<string>, n string, m string")
+    got = [tuple(r) for r in df.select(S.jaccard_or_zero(F.col("x"), F.col("y")), S.overlap(F.col("x"), F.col("y")), S.same_start(F.col("n"), F.col("m"))).collect()]
+    assert got == [(0.5, 1.0, 1), (0.0, 0.0, 0), (0.0, 0.0, 0)]
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_running_sums_equal_a_window(spark, by):
+    rows = [(i % 3 if i % 7 else None, (i * 37) % 50, i, i % 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, x int, place int, n int").repartition(8)
+    got = {(r.g, r.place): r.n_upto for r in running(df, [F.desc("x"), F.asc("place")], ["n"], by).collect()}
+    total, want = {}, {}
+    for g, x, place, n in sorted(rows, key=lambda r: (-r[1], r[2])):
+        k = g if by else 0
+        total[k] = total.get(k, 0) + n
+        want[g, place] = total[k]
+    assert got == want
+
+
+def test_search_equals_brute_force_with_long_lists(spark):
+    """Also where the bound lets long lists go and where documents come in many blocks."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    common = ["the", "and", "of"]
+    texts = [[*common[: rng.integers(1, 4)], *(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(2, 9)) % 3000)] for _ in range(2600)]
+    docs = spark.createDataFrame([(f"d{i:05}", "p" if i % 2 else "q", t) for i, t in enumerate(texts)], "id string, part string, terms array<string>")
+    asked = spark.createDataFrame([(f"a{i}", p, texts[i * 31]) for i in range(40) for p in ("p", "q")], "id string, part string, terms array<string>")
+    vocab = tfidf.vocabulary(docs)
+    q, d = tfidf.weigh(asked, vocab), tfidf.weigh(docs, vocab)
+    vectors = lambda df: {k: dict(v) for k, v in _grouped((((r.part, r.id), (r.term, r.w)) for r in df.collect())).items()}
+    qs, ds = vectors(q), vectors(d)
+    want = {}
+    for (part, a), x in qs.items():
+        scores = [(-round(sum(w * y.get(t, 0) for t, w in x.items()), 6), i) for (p, i), y in ds.items() if p == part]
+        want[part, a] = sorted(s for s in scores if s[0] < 0)[:15]
+    for options in ({}, {"block_docs": 300, "block_queries": 7, "blocks_a_task": 2}):
+        got = _grouped(((r.part, r.q), (-r.score, r.d)) for r in tfidf.cosine_search(q, d, 15, **options).collect())
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def _grouped(pairs):
+    out = {}
+    for k, v in pairs:
+        out.setdefault(k, []).append(v)
+    return out
+
+
+def test_romanised_names_are_second_documents(spark):
+    recs = spark.createDataFrame([("S1-1", "S1", "IN", "Ram Trading", "x"), ("S2-1", "S2", "IN", "राम ट्रेडिंग", "x"), ("S2-2", "S2", "IN", "raam other", "x"), ("S1-2", "S1", "IN", "राम ट्रेडिंग", "x"), ("S2-3", "S2", "IN", "trediing praam", "x")], "entity_id string, source string, country string, name string, address string")
+    p = blocking.prepare(recs)
+    hits = {(r.s1_id, r.cand_id): r["pass"] for r in blocking.tfidf_pass(p, "name", "P2").collect()}
+    assert hits["S1-1", "S2-1"] == "P4" and hits["S1-1", "S2-2"] == "P2" and ("S1-2", "S2-1") not in hits  # no other target has its letters
+    exact = {(r.s1_id, r.cand_id) for r in blocking.exact_core(p).collect()}
+    assert exact == {("S1-2", "S2-1")}  # an S1 record is known by its own spelling only
+
+
+def test_datasets_and_written_files(spark, tmp_path):
+    df = spark.createDataFrame([("S1-1", "S2-1", 0.5, None, 1), ("S1-1", "S2-2", None, 1.0, 0)], "s1_id string, cand_id string, a double, b double, y int")
+    made = sinks.write_dataset(df, f"{tmp_path}/set", ["a", "b"], {"cap": 400}, spark.createDataFrame([("x", 1.0)], "token string, idf double"))
+    data, manifest = sinks.read_dataset(spark, f"{tmp_path}/set")
+    assert manifest == made and manifest["columns"] == ["a", "b"] and sorted(map(tuple, data.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    data.where("y = 1").write.mode("overwrite").parquet(f"{tmp_path}/other")
+    (tmp_path / "set" / "data").rename(tmp_path / "gone")
+    (tmp_path / "other").rename(tmp_path / "set" / "data")
+    with pytest.raises(ValueError, match="belong together"):
+        sinks.read_dataset(spark, f"{tmp_path}/set")
+    wide = spark.createDataFrame([("S1-1", "S2-1,S3-2"), ("S1-2", ""), ("S1-3", "S1-9")], "source1_entity_id string, candidate_entity_ids string")
+    sinks.write_tsv(wide.coalesce(1), f"{tmp_path}/wide")
+    assert tuple(sinks.integrity(spark, f"{tmp_path}/wide").first()) == (True, 3, 1, 3, 1, 0)
+    with open(next((tmp_path / "wide").glob("part-*")), "a", encoding="utf-8") as f:
+        f.write("S1-4")
+    (tmp_path / "wide" / "more.csv").write_text("S2-1\tS2-2\n", encoding="utf-8")
+    for x in (tmp_path / "wide").glob(".*.crc"):
+        x.unlink()
+    assert tuple(sinks.integrity(spark, f"{tmp_path}/wide").first()) == (False, 5, 2, 4, 1, 2)
+
+
+def test_required_ids_come_in_file_order(spark, tmp_path):
+    ids = [f"S1-{(i * 7919) % 5000}" for i in range(5000)]
+    (tmp_path / "s1.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join(f"{i}\tname {i} {'x' * 30}\tstreet\tUS\n" for i in ids), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        df = R.read_required_ids(spark, str(tmp_path / "s1.tsv"))
+        assert df.rdd.getNumPartitions() > 3 and [r.s1_id for r in df.orderBy("place").collect()] == ids
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_chunks_partitions_and_resuming(spark, tmp_path):
+    pairs = spark.createDataFrame([(f"S1-{i % 20}", f"S2-{i}", i / 100) for i in range(100)], "s1_id string, cand_id string, score double")
+    got = R.in_chunks(pairs, 20, 3).collect()
+    assert len(got) == 60 and all(len(set(c)) == 1 for c in _grouped((r.s1_id, r.chunk) for r in got).values()) and 1 < len({r.chunk for r in got}) <= 3
+    recs = spark.createDataFrame([(f"S1-{i}", "us" if i % 3 else "fr") for i in range(30)] + [("S1-x", "in")], "entity_id string, ck string")
+    assert R.partition_order(R.country_counts(recs)) == ["us", "fr", "in"] and R.partition_order(R.country_counts(recs), "ascending") == ["in", "fr", "us"] and R.partition_order(R.country_counts(recs), "natural") == ["fr", "in", "us"]
+    out, calls = str(tmp_path / "out"), []
+
+    def work(df):
+        calls.append(1)
+        return df if len(calls) != 2 else df.select(F.raise_error(F.lit("broken off")).alias("x"))
+
+    with pytest.raises(Exception, match="broken off"):
+        R.resume(recs, out, work)
+    assert R.pending(recs, out) == ["in", "us"] and R.resume(recs, out, work) == ["in", "us"] and R.resume(recs, out, work) == []
+    assert spark.read.parquet(out).count() == 31
+    R.write_partitioned(recs, str(tmp_path / "by"), 4)
+    assert spark.read.parquet(str(tmp_path / "by")).where("ck = 'us'").count() == 20
+
+
+def test_weighted_recall_and_ablation(spark):
+    parts = spark.createDataFrame([(9, 10), (10, 90)], "hits long, total long")
+    assert evaluate.weighted_recall(parts).first().recall == pytest.approx(0.19)
+    df = spark.createDataFrame([(f"S1-{i}", float(i % 2), 0.0, i % 2) for i in range(80)], "s1_id string, a double, b double, y int")
+    fit = lambda train, test, columns: test.select("y", sum((F.col(c) for c in columns), F.lit(0.0)).alias("p"))
+    metric = lambda out: out.agg(F.avg((F.col("p") == F.col("y")).cast("int"))).first()[0]
+    got = {r["removed"]: r["marginal"] for r in model.ablate(fit, df, {"first": ["a"], "second": ["b"]}, ["a", "b"], metric)}
+    assert got["<none>"] == 0 and got["first"] > 0.2 and got["second"] == 0
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, *_):
+            return self.value
+
+    def session(master, value=None):
+        s = type("S", (), {})()
+        s.conf, s.sparkContext = Conf(value), type("C", (), {"master": master})()
+        return s
+
+    assert durable.shared_dir(session("local[2]")) == durable.UNSET_DIR and durable.shared_dir(session("yarn", "hdfs:///x")) == "hdfs:///x"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            durable.shared_dir(session(master))
+
+
+def test_streams(spark, tmp_path):
+    recs = "entity_id string, source string, country string, name string, address string"
+    targets = spark.createDataFrame([("S2-1", "S2", "US", "Acme Foods Inc", "1 Elm St"), ("S2-2", "S2", "US", "Other Thing", "2 Oak St")], recs)
+    spark.createDataFrame([("S1-1", "S1", "US", "Foods Acme LLC", "1 Elm St")], recs).write.parquet(f"{tmp_path}/in")
+    found = []
+    query = match_stream(spark.readStream.schema(recs).parquet(f"{tmp_path}/in"), targets, lambda df, n: found.extend((n, r.s1_id, r.cand_id) for r in df.collect()), f"{tmp_path}/state")
+    query.awaitTermination()
+    assert found == [(0, "S1-1", "S2-1")]
+    spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id) as at, cast(id as double) as score from range(30)").write.parquet(f"{tmp_path}/scores")
+    rates = candidate_rates(spark.readStream.schema("at timestamp, score double").parquet(f"{tmp_path}/scores"), "at")
+    rates.writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", f"{tmp_path}/rates").trigger(availableNow=True).start().awaitTermination()
+    assert [(r.n_pairs, r.best) for r in spark.table("rates").orderBy("start").collect()] == [(10, 9.0), (10, 19.0), (10, 29.0)]
