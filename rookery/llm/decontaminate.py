@@ -2,31 +2,39 @@
 
 A benchmark item of L words is looked for in every window of L words of a
 document (the whole text, where it is shorter).  Item and window are bags of
-five-word shingles; the 128-bit SimHash of a bag is the sign of the sum of its
-shingles' random vectors, read for all windows from running sums.  Two bags
-with weighted Jaccard similarity of 0.8 differ in about 19 bits, so
-fingerprints within RADIUS bits are candidates.  The multi-index finds all of
-them: 128 bits are cut into 16 blocks, and two fingerprints within RADIUS bits
-differ by at most RADIUS // 16 bits in some block, so every item whose block is
-that near is looked at.  A candidate counts if its weighted Jaccard similarity
+five-word shingles; a candidate counts if their weighted Jaccard similarity
 (sum of minima over sum of maxima of the shingles' counts) is at least 0.8.
 
-Windows without any shingle of the benchmark have similarity 0 with all items and
-get no fingerprint.  The benchmark is sent to every worker; ``max_items`` and
-``max_words`` bound what is sent, and a larger benchmark is worked off in
-groups of items.
+Which windows meet which items is bounded without loss: a window of ``a`` shingles and an
+item of ``n`` at similarity t share t (a + n) / (1 + t) of them, at least t n, so
+
+- a window with fewer shingles of the benchmark than that meets no item, and
+- one of any n - t n + 1 shingles of the item is in the window; of these *keys*, the
+  item's rarest in the benchmark, an inverted list leads from windows to items.
+
+The 128-bit SimHash of a bag is the sign of the sum of its shingles' random vectors, read
+for all windows from running sums over a stretch of the document.  Bags of similarity 0.8
+differ in about 19 bits, so fingerprints within RADIUS bits are candidates.  128 bits are 16
+blocks, and two fingerprints within RADIUS bits differ by at most RADIUS // 16 in some
+block, so only windows near an item in some block are measured in full, and no pair within the radius is
+lost.  (Blocks alone would prune little at this radius, 92 % of random pairs pass them; the bounds above do that.)
+
+The benchmark's tables are built once and broadcast; ``max_items`` and ``max_words`` bound
+what is sent, and a larger benchmark is worked off in groups of items, one after the other.
 
 Words are lower-cased runs of letters and digits, so punctuation and markup
 around a passage do not hide it.
 
 Cases: null and empty texts and items match nothing.  An item of fewer than five
 words is one shingle, as is a window of its size.  Repeated documents and items
-each count.  An empty benchmark finds nothing; an empty table gives no rows.
-Extra columns are left out.
+each count; a null item_id is an item like others.  An empty benchmark finds nothing; an empty table gives no rows.
+Extra columns are left out (``leaks``) or kept (``keep_clean``).  A very long text costs memory in
+proportion to its number of words, as hashes; running sums are held for STRETCH words at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.textarrays import column_bytes, mix, pieces, shingles, words
+from rookery.llm.textarrays import column_bytes, mix, pieces, released, shingles, words
+from rookery.plans.durable import materialize
 
 K = 5
 BITS = 128
@@ -44,8 +53,7 @@ _SEED = np.random.default_rng(4242).integers(1, 2**63, BITS // 64, dtype=np.uint
 _PLAIN = np.full(256, 0x20, np.uint8)
 for _b in [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]:
     _PLAIN[_b] = _b
-#: For every block value, the values within RADIUS // BLOCKS bits of it.
-_NEAR = (np.array([bin(i).count("1") for i in range(256)])[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= RADIUS // BLOCKS)
+STRETCH = 8192
 
 
 def plain_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,46 +83,95 @@ def bag_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / whole if whole else 0.0
 
 
-class Index:
-    """Items of one length, found by blocks of their fingerprints."""
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of two arrays of fingerprints are within RADIUS bits: by a near block first, then in full."""
+    blocks = np.bitwise_count(a ^ b)
+    out = np.zeros(len(blocks), bool)
+    some = np.flatnonzero(blocks.min(1, initial=255) <= RADIUS // BLOCKS)
+    out[some] = blocks[some].sum(1) <= RADIUS
+    return out
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.ids = [i for i, _ in items]
-        self.bags = [s for _, s in items]
-        self.prints = np.stack([fingerprints(vectors(s).sum(0, dtype=np.int32)) for s in self.bags])
-        # near[block][value]: which items are within reach of a window with this value there.
-        self.near = np.stack([_NEAR[:, self.prints[:, b]] for b in range(BLOCKS)])
 
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) with fingerprints within RADIUS bits, all of them."""
-        found = np.zeros((len(prints), len(self.ids)), bool)
-        for b in range(BLOCKS):
-            found |= self.near[b][prints[:, b]]
-        w, i = np.nonzero(found)
-        ok = np.bitwise_count(prints[w] ^ self.prints[i]).sum(1) <= RADIUS
-        return w[ok], i[ok]
+def needed(a: int, n: int, threshold: float) -> int:
+    """The least number of shared shingles with which bags of ``a`` and ``n`` reach the threshold."""
+    return math.ceil(threshold * (a + n) / (1 + threshold) - 1e-9)
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64), len(keys)]
 
 
 class Benchmark:
-    """Items by length in words, and the hashes of all their shingles."""
+    """Items as bags of shingles, their fingerprints, and inverted lists from shingles to items."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]):
-        rows = [r for r in rows if r[0] is not None]
+    def __init__(self, rows: list[tuple[object, str | None]], threshold: float = 0.8):
+        self.threshold = threshold
         raw, offsets = column_bytes(pa.array([t for _, t in rows], pa.large_string()))
         h, row = plain_words(raw, offsets)
-        count = np.bincount(row, minlength=len(rows))
+        self.ids = [i for i, _ in rows]
+        self.words = np.bincount(row, minlength=len(rows))
         s, r = shingles(h, row, len(rows), K)
-        by: dict[int, list] = {}
-        for i, (item, _) in enumerate(rows):
-            if count[i]:
-                by.setdefault(int(count[i]), []).append((item, s[r == i]))
-        self.by_length = {n: Index(items) for n, items in sorted(by.items())}
-        self.known = np.unique(s[np.isin(r, np.flatnonzero(count >= K))])
-        self.short = {n: index for n, index in self.by_length.items() if n < K}
+        self.shingles, self.start = s, np.searchsorted(r, np.arange(len(rows) + 1))
+        self.prints = np.zeros((len(rows), BITS // 8), np.uint8)
+        for a in range(0, len(rows), 256):  # running sums of a few items at a time
+            b = min(a + 256, len(rows))
+            low = self.start[a]
+            sums = np.zeros((self.start[b] - low + 1, BITS), np.int32)
+            np.cumsum(vectors(s[low : self.start[b]]), axis=0, dtype=np.int32, out=sums[1:])
+            self.prints[a:b] = fingerprints(sums[self.start[a + 1 : b + 1] - low] - sums[self.start[a:b] - low])
+        long = self.words[r] >= K
+        self.known, often = np.unique(s[long], return_counts=True)
+        # Keys: of each item its rarest shingles, as many as no alike window can do without.
+        s, r = s[long], r[long]
+        order = np.lexsort((s, often[np.searchsorted(self.known, s)], r))
+        s, r = s[order], r[order]
+        size = np.bincount(r, minlength=len(rows))
+        place = np.arange(len(r)) - (np.cumsum(size) - size)[r]
+        least = np.ceil(threshold * size - 1e-9).astype(np.int64)
+        keep = place <= (size - least)[r]
+        s, r = s[keep], r[keep]
+        order = np.lexsort((r, s))
+        s, r = s[order], r[order]
+        new = np.r_[True, (s[1:] != s[:-1]) | (r[1:] != r[:-1])] if len(s) else np.zeros(0, bool)
+        s, self.items = s[new], r[new]
+        cut = _runs(s)
+        self.keys, self.lists = s[cut[:-1]], cut
+        # Items of fewer than K words: one shingle each, by number of words.
+        self.short = {int(n): np.flatnonzero(self.words == n) for n in range(1, K) if (self.words == n).any()}
+
+    def bag(self, item: int) -> np.ndarray:
+        return self.shingles[self.start[item] : self.start[item + 1]]
+
+    def touched(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) for every shingle that is a key of an item."""
+        found = member(self.keys, s)
+        place = np.flatnonzero(found >= 0)
+        key = found[place]
+        size = self.lists[key + 1] - self.lists[key]
+        at = np.repeat(self.lists[key] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.repeat(place, size), self.items[at]
+
+
+def member(known: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The place of each value among sorted ``known`` ones, -1 where it is none."""
+    if not len(known):
+        return np.full(len(s), -1)
+    at = np.searchsorted(known, s)
+    at[at == len(known)] = 0
+    return np.where(known[at] == s, at, -1)
+
+
+def _starts(place: np.ndarray, width: int, m: int) -> np.ndarray:
+    """The first shingles of all windows of ``width`` among ``m`` shingles that hold one of the sorted places."""
+    low, high = np.maximum(place - width + 1, 0), np.minimum(place, m - width) + 1
+    low = np.maximum(low, np.r_[0, np.maximum.accumulate(high)[:-1]])
+    size = np.maximum(high - low, 0)
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def matches(h: np.ndarray, bench: Benchmark, threshold: float) -> list[tuple[int, int, int, float]]:
-    """(item, first word, words, similarity) of the best window for each item in one document's words."""
+    """(item's number, first word, words, similarity) of the best window for each item in one document's words."""
     best: dict[int, tuple[float, int, int]] = {}
 
     def note(item: int, similarity: float, start: int, n: int) -> None:
@@ -122,39 +179,37 @@ def matches(h: np.ndarray, bench: Benchmark, threshold: float) -> list[tuple[int
             best[item] = (similarity, start, n)
 
     m = len(h)
-    zero = np.zeros(m, np.int64)
-    for n, index in bench.short.items():
+    for n, items in bench.short.items():
         if m >= n:
             grams, _ = shingles_of_width(h, n)
-            for w in np.flatnonzero(np.isin(grams, np.concatenate(index.bags))):
-                for item, bag in zip(index.ids, index.bags, strict=True):
-                    note(item, float(grams[w] == bag[0]), int(w), n)
-    if m >= K and len(bench.known):
-        s, _ = shingles(h, zero, 1, K)
-        at = np.searchsorted(bench.known, s)
-        at[at == len(bench.known)] = 0
-        hit = bench.known[at] == s
-        if hit.any():
-            hits = np.r_[0, np.cumsum(hit)]
-            vector = None
-            for n, index in bench.by_length.items():
-                if n < K:
-                    continue
-                width = min(n - K + 1, len(s))
-                start = np.flatnonzero(hits[width:] > hits[:-width])
-                if not len(start):
-                    continue
-                if vector is None:  # running sums over the stretch that any window needs
-                    reach = max(bench.by_length)
-                    low, high = max(0, int(np.argmax(hit)) - reach), min(len(s), len(s) - int(np.argmax(hit[::-1])) + reach)
-                    vector = np.zeros((high - low + 1, BITS), np.int32)
-                    np.cumsum(vectors(s[low:high]), axis=0, dtype=np.int32, out=vector[1:])
-                for a in range(0, len(start), 8192):
-                    some = start[a : a + 8192]
-                    prints = fingerprints(vector[some - low + width] - vector[some - low])
-                    for w, i in zip(*index.candidates(prints), strict=True):
-                        first = int(some[w])
-                        note(index.ids[i], bag_similarity(s[first : first + width], index.bags[i]), first, width + K - 1)
+            for item in items.tolist():
+                first = np.flatnonzero(grams == bench.bag(item)[0])
+                if len(first):
+                    note(item, 1.0, int(first[0]), n)
+    if m >= K and len(bench.keys):
+        s, _ = shingles(h, np.zeros(m, np.int64), 1, K)
+        place, item = bench.touched(s)
+        if len(place):
+            hits = np.r_[0, np.cumsum(member(bench.known, s) >= 0)]
+            order = np.lexsort((place, item))
+            place, item = place[order], item[order]
+            cut = _runs(item)
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                i = int(item[lo])
+                bag = bench.bag(i)
+                width = min(len(bag), len(s))
+                least = needed(width, len(bag), threshold)
+                start = _starts(place[lo:hi], width, len(s))
+                start = start[hits[start + width] - hits[start] >= max(least, 1)]
+                while len(start):
+                    some = start[: np.searchsorted(start, start[0] + STRETCH)]
+                    start = start[len(some) :]
+                    low = int(some[0])
+                    sums = np.zeros((int(some[-1]) + width - low + 1, BITS), np.int32)
+                    np.cumsum(vectors(s[low : low + len(sums) - 1]), axis=0, dtype=np.int32, out=sums[1:])
+                    prints = fingerprints(sums[some - low + width] - sums[some - low])
+                    for w in some[near(prints, bench.prints[i][None])].tolist():
+                        note(i, bag_similarity(s[w : w + width], bag), w, width + K - 1)
     return [(item, start, n, float(x)) for item, (x, start, n) in sorted(best.items())]
 
 
@@ -165,55 +220,82 @@ def shingles_of_width(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(h[np.arange(m)[:, None] + np.arange(n)].ravel(), rows, m, K)
 
 
+def _found(texts: pa.Array, bench: Benchmark, threshold: float) -> Iterator[tuple[int, list]]:
+    """(row, matches) of the rows of a column in which items are found."""
+    raw, offsets = column_bytes(texts)
+    for a, b in pieces(offsets):
+        h, row = plain_words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        ends = np.cumsum(np.bincount(row, minlength=b - a))
+        look = np.arange(b - a)
+        if not bench.short:  # documents without any key need no closer look
+            s, r = shingles(h, row, b - a, K)
+            look = np.unique(r[member(bench.keys, s) >= 0])
+        for d in look.tolist():
+            found = matches(h[ends[d - 1] if d else 0 : ends[d]], bench, threshold)
+            if found:
+                yield a + d, found
+
+
+def _groups(benchmark: DataFrame, max_items: int, max_words: int) -> list[DataFrame]:
+    """The benchmark in groups within the bounds."""
+    n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, -(-n // max_items), -(-size // (4 * max_words)))
+    if groups == 1:
+        return [benchmark]
+    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g) for g in range(groups)]
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, max_items: int = 20_000, max_words: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity of every item found in a document.
 
     One row per document and item, for the window most alike (ties: the first).
     """
-    spark = documents.sparkSession
     kinds = documents.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, first_word long, n_words long, similarity double"
+    schema = f"doc_id {kinds[0]}, at long, first_word long, n_words long, similarity double"
 
-    def search(rows: list[tuple[int, str | None]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(rows)
+    def search(rows: list) -> tuple[DataFrame, object]:
+        sent = documents.sparkSession.sparkContext.broadcast(Benchmark(rows, threshold))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(sent.value)
-            for batch in batches:
-                raw, offsets = column_bytes(batch.column("text"))
-                out: list[tuple] = []
-                where: list[int] = []
-                for a, b in pieces(offsets):
-                    h, row = plain_words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    ends = np.cumsum(np.bincount(row, minlength=b - a))
-                    if not bench.short:  # documents without any benchmark shingle need no closer look
-                        s, r = shingles(h, row, b - a, K)
-                        at = np.searchsorted(bench.known, s)
-                        at[at == len(bench.known)] = 0
-                        look = np.unique(r[bench.known[at] == s]) if len(bench.known) else ()
-                    else:
-                        look = np.arange(b - a)
-                    for d in look:
-                        for m in matches(h[ends[d - 1] if d else 0 : ends[d]], bench, threshold):
-                            out.append(m)
-                            where.append(a + int(d))
-                cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(where, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.from_numpy_dtype(np.int64), pa.int64(), pa.int64(), pa.float64()), strict=True))], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
-
-        return documents.select("doc_id", "text").mapInArrow(run, schema)
-
-    # The benchmark comes in groups within the bounds, each read off its own aggregate.
-    sizes = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    groups = max(1, -(-sizes[0] // max_items), -(-sizes[1] // (4 * max_words)))
-    found = None
-    for g in range(groups):
-        part = benchmark if groups == 1 else benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)
-        one = search([(r[0], r[1]) for r in part.select("item_id", "text").collect()])
+            for batch in released(batches):
+                rows = [(d, *m) for d, found in _found(batch.column("text"), sent.value, threshold) for m in found]
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.float64())], ["doc_id", "at", "first_word", "n_words", "similarity"])
+
+        # Items travel by number; there are at most ``max_items`` names to give back.
+        names = documents.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"at long, item_id {kinds[1]}")
+        return documents.select("doc_id", "text").mapInArrow(run, schema).join(F.broadcast(names), "at").select("doc_id", "item_id", "first_word", "n_words", "similarity"), sent
+
+    groups, found = _groups(benchmark, max_items, max_words), None
+    for part in groups:
+        one, sent = search([(r[0], r[1]) for r in part.select("item_id", "text").collect()])
+        if len(groups) > 1:  # one group at a time is held
+            one = materialize(one, "leaks")
+            sent.unpersist()
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def keep_clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def keep_clean(documents: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, max_items: int = 20_000, max_words: int = 2_000_000) -> DataFrame:
     """The documents in which no benchmark item is found, with their own columns."""
-    bad = leaks(documents, benchmark, **options).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)
+    spark = documents.sparkSession
+
+    def clean(rows: list):
+        sent = spark.sparkContext.broadcast(Benchmark(rows, threshold))
+
+        @F.arrow_udf("boolean")
+        def is_clean(texts: pa.Array) -> pa.Array:
+            out = np.ones(len(texts), bool)
+            out[[d for d, _ in _found(texts, sent.value, threshold)]] = False
+            return pa.array(out)
+
+        return is_clean, sent
+
+    groups = _groups(benchmark, max_items, max_words)
+    for part in groups:
+        is_clean, sent = clean([(r[0], r[1]) for r in part.select("item_id", "text").collect()])
+        documents = documents.where(is_clean("text"))
+        if len(groups) > 1:
+            documents = materialize(documents, "clean")
+            sent.unpersist()
+    return documents
