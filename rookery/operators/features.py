@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rookery.functions import similarity as S
 from rookery.functions import text as T
 from rookery.operators.windows import group_features, reciprocal_features
+from rookery.plans.durable import materialize
 
 HIGH = 0.85
 
@@ -176,7 +177,7 @@ def fuzzy_features() -> dict[str, Column]:
 
 def featurize(pairs: DataFrame, records: DataFrame, *, name_idf: DataFrame | None = None, addr_idf: DataFrame | None = None, fuzzy: bool = True, unicode: bool = True) -> DataFrame:
     """s1_id, cand_id and the feature columns in order, of pairs (s1_id, cand_id, score)."""
-    prepared = prepare(records, unicode)
+    prepared = materialize(prepare(records, unicode), "feature-records")
     df = with_records(pairs.select("s1_id", "cand_id", "score"), prepared)
     df = idf_overlap(df, name_idf or idf(prepared, "tokens"), F.col("l.tokens"), F.col("r.tokens"), "idf_weighted_overlap", "max_idf_shared")
     df = idf_overlap(df, addr_idf or idf(prepared, "addr_tokens"), F.col("l.addr_tokens"), F.col("r.addr_tokens"), "addr_idf_overlap", "addr_max_idf_shared")

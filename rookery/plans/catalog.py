@@ -492,6 +492,69 @@ def feature_matrix_77(spark, d):
     return rounded(features.featurize(pairs, recs))
 
 
+def _contain(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN {_inter(a, b)} / len({a}) END"
+
+
+def _dice(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN 2 * {_inter(a, b)} / (len({a}) + len({b})) END"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN greatest({a}, {b}) > 0 THEN least({a}, {b}) / greatest({a}, {b}) END"
+
+
+def _is(c: str) -> str:
+    return f"CAST(coalesce({c}, false) AS INT)"
+
+
+_IDF = """{p}n AS (SELECT greatest(count(*), 1) AS n FROM h), {p}w AS (SELECT token, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS idf FROM (SELECT unnest({c}) AS token FROM h), {p}n GROUP BY 1),
+{p}s AS (SELECT s1_id, cand_id, sum(idf) AS t, max(idf) AS m FROM (SELECT s1_id, cand_id, unnest(list_intersect(l.{c}, r.{c})) AS token FROM pp) JOIN {p}w USING (token) GROUP BY ALL)"""
+_NS, _AS = _jac("l.grams3", "r.grams3"), _jac("l.addrs", "r.addrs")
+_NUMS = r"list_sort(list_distinct(regexp_extract_all({c}, '\p{Nd}+')))"
+_EXACT_FEATURES = {
+    "retrieval_score": "score", "name_exact": _is("l.n = r.n AND l.n <> ''"), "name_core_exact": _is("l.core_name = r.core_name AND l.core_name <> ''"), "first_token_exact": _is("l.nt[1] = r.nt[1]"), "last_token_exact": _is("l.nt[-1] = r.nt[-1]"),
+    "addr_exact": _is("l.a = r.a AND l.a <> ''"), "addr_numeric_set_exact": _is("l.anums = r.anums AND len(l.anums) > 0"), "name_digits_equal": _is("l.nnums = r.nnums"),
+    "name_digits_conflict": _is("len(l.nnums) > 0 AND len(r.nnums) > 0 AND l.nnums <> r.nnums"), "name_has_digits_both": _is("len(l.nnums) > 0 AND len(r.nnums) > 0"),
+    "name_token_jaccard": _jac("l.tokens", "r.tokens"), "name_token_dice": _dice("l.tokens", "r.tokens"), "name_contain_fwd": _contain("l.tokens", "r.tokens"), "name_contain_rev": _contain("r.tokens", "l.tokens"), "shared_token_count": _inter("l.tokens", "r.tokens"),
+    "idf_weighted_overlap": "coalesce(x.t, 0)", "max_idf_shared": "coalesce(x.m, 0)", "name_ngram_jaccard": _NS, "name_ngram_contain": _contain("l.grams3", "r.grams3"), "name_len_diff": "abs(length(l.n) - length(r.n))", "name_len_ratio": _ratio("length(l.n)", "length(r.n)"),
+    "token_count_diff": "abs(len(l.tokens) - len(r.tokens))", "token_count_ratio": _ratio("len(l.tokens)", "len(r.tokens)"), "addr_token_jaccard": _AS, "addr_ngram_jaccard": _jac("l.agrams", "r.agrams"), "addr_numeric_jaccard": _jac("l.anums", "r.anums"),
+    "script_match": _is("l.script = r.script"), "is_cross_script": _is("l.script <> r.script AND l.script <> 'NONE' AND r.script <> 'NONE'"), "addr_missing_either": _is("l.a = '' OR r.a = ''"), "addr_missing_both": _is("l.a = '' AND r.a = ''"), "name_missing_either": _is("l.n = '' OR r.n = ''"),
+    "n_fields_comparable": _is("l.n <> '' AND r.n <> ''") + " + " + _is("l.a <> '' AND r.a <> ''"), "both_high": _is(f"{_NS} > 0.85 AND {_AS} > 0.85"), "name_high_addr_low": _is(f"{_NS} > 0.85 AND {_AS} <= 0.85"), "name_low_addr_high": _is(f"{_NS} <= 0.85 AND {_AS} > 0.85"),
+    "sim_disagreement": f"abs({_NS} - {_AS})", "min_field_sim": f"CASE WHEN {_NS} IS NULL THEN {_AS} WHEN {_AS} IS NULL THEN {_NS} ELSE least({_NS}, {_AS}) END", "mean_field_sim": f"({_NS} + {_AS}) / 2",
+    "is_domain_l": _is("l.stem <> ''"), "is_domain_r": _is("r.stem <> ''"), "is_domain_either": _is("l.stem <> '' OR r.stem <> ''"), "eff_token_jaccard": _jac("l.eff", "r.eff"), "eff_token_contain_fwd": _contain("l.eff", "r.eff"), "eff_token_contain_rev": _contain("r.eff", "l.eff"),
+    "translit_token_jaccard": _jac("l.latin", "r.latin"), "translit_token_contain": _contain("l.latin", "r.latin"), "addr_contain_fwd": _contain("l.addrs", "r.addrs"), "addr_contain_rev": _contain("r.addrs", "l.addrs"), "addr_dice": _dice("l.addrs", "r.addrs"),
+    "addr_last_exact": _is("l.aw[-1] = r.aw[-1]"), "addr_first_num_equal": _is("l.adigits[1] = r.adigits[1]"), "addr_first_num_conflict": _is("l.adigits[1] <> r.adigits[1]"), "addr_token_count_ratio": _ratio("len(l.addrs)", "len(r.addrs)"),
+    "addr_idf_overlap": "coalesce(y.t, 0)", "addr_max_idf_shared": "coalesce(y.m, 0)", "cand_is_S2": _is("r.source = 'S2'"),
+}
+_WINDOWED = {
+    "rank_in_group": "CAST(row_number() OVER o AS INT)", "is_top1": "CAST(row_number() OVER o = 1 AS INT)", "score_margin_to_2nd": "score - nth_value(score, 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", "score_ratio_to_max": "CASE WHEN max(score) OVER g > 0 THEN score / max(score) OVER g END",
+    "score_minus_group_mean": "score - avg(score) OVER g", "z_score_in_group": "CASE WHEN stddev_pop(score) OVER g > 1e-12 THEN (score - avg(score) OVER g) / stddev_pop(score) OVER g END", "group_size": "count(*) OVER g", "score_gap_below": "score - lead(score) OVER o", "frac_above": "(row_number() OVER o - 1) / count(*) OVER g",
+    "rank_reverse": "CAST(row_number() OVER co AS INT)", "is_mutual_best": "CAST(row_number() OVER o = 1 AND row_number() OVER co = 1 AS INT)", "n_competitors_for_cand": "count(*) OVER cg", "cand_best_score": "max(score) OVER cg", "cand_score_margin": "score - nth_value(score, 2) OVER (co ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+}
+_WHOLE = {"shared_token_count", "name_len_diff", "token_count_diff", "n_fields_comparable", "rank_in_group", "is_top1", "group_size", "rank_reverse", "is_mutual_best", "n_competitors_for_cand"}
+
+
+def _columns(made: dict[str, str]) -> str:
+    return ", ".join(f"{v} AS {k}" if k in _WHOLE or v.startswith("CAST(coalesce") else f"round({v}, 6) + 0::DOUBLE AS {k}" for k, v in made.items())
+
+
+@query(f"""{_PAIR}, h AS MATERIALIZED (
+  SELECT * EXCLUDE (anums), {_LEGAL} AS legal, {_NUMS.replace('{c}', 'n')} AS nnums, {_NUMS.replace('{c}', 'a')} AS anums, regexp_extract_all(a, '\\p{{Nd}}+') AS adigits,
+    coalesce(array_to_string({_LEGAL}, ' '), '') AS core_name,
+    CASE WHEN nl = 0 AND nd = 0 THEN 'NONE' WHEN nl > nd OR nl = nd AND NOT regexp_matches(n, '^[^\\p{{Latin}}]*[\\p{{Devanagari}}]') THEN 'LATIN' ELSE 'DEVANAGARI' END AS script
+  FROM (SELECT *, length(regexp_replace(n, '[^\\p{{Latin}}]', '', 'g')) AS nl, length(regexp_replace(n, '[^\\p{{Devanagari}}]|\\p{{M}}|\\p{{Nd}}', '', 'g')) AS nd FROM f)),
+h2 AS MATERIALIZED (SELECT *, list_distinct({Q.toks("CASE WHEN stem <> '' THEN stem ELSE core_name END")}) AS eff, CASE WHEN regexp_matches(name, '[\\x{{0900}}-\\x{{097F}}]') THEN list_distinct({Q.without(Q.toks('tr'), T.LEGAL)}) ELSE tokens END AS latin FROM h),
+pp AS MATERIALIZED (SELECT s1_id, cand_id, 1.0::DOUBLE AS score, l, r FROM p1hits JOIN h2 l ON l.entity_id = s1_id JOIN h2 r ON r.entity_id = cand_id),
+{_IDF.replace('{p}', 'nt_').replace('{c}', 'tokens')}, {_IDF.replace('{p}', 'ad_').replace('{c}', 'addrs')}
+SELECT s1_id, cand_id, {_columns(_EXACT_FEATURES)}, {_columns(_WINDOWED)} FROM pp LEFT JOIN nt_s x USING (s1_id, cand_id) LEFT JOIN ad_s y USING (s1_id, cand_id)
+WINDOW g AS (PARTITION BY s1_id), o AS (PARTITION BY s1_id ORDER BY score DESC, cand_id), cg AS (PARTITION BY cand_id), co AS (PARTITION BY cand_id ORDER BY score DESC, s1_id)""")
+def feature_matrix_exact(spark, d):
+    """The 70 features without string ratios; SQL can follow these."""
+    pairs, recs = exact_pairs(spark, d)
+    return rounded(features.featurize(pairs, recs, fuzzy=False))
+
+
 @query(f"""WITH {Q.CLAIMS}, w AS (SELECT *, row_number() OVER o AS r, max(prob) OVER g AS mx, avg(prob) OVER g AS mean, stddev_pop(prob) OVER g AS sd, count(*) OVER g AS n, lead(prob) OVER o AS nxt, nth_value(prob, 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
   FROM claims WINDOW g AS (PARTITION BY s1_id), o AS (PARTITION BY s1_id ORDER BY prob DESC, cand_id))
 SELECT s1_id, cand_id, round(prob, 6) AS prob, CAST(r AS INT) AS rank_in_group, CAST(r = 1 AS INT) AS is_top1, round(prob - second, 6) + 0::DOUBLE AS score_margin_to_2nd, round(CASE WHEN mx > 0 THEN prob / mx END, 6) AS score_ratio_to_max, round(prob - mean, 6) + 0::DOUBLE AS score_minus_group_mean,
