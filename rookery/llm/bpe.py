@@ -38,7 +38,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from rookery.llm.textarrays import released
+from rookery.llm.textarrays import bounded, released
 
 # Fixed value: the splitting pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -130,6 +130,12 @@ class Transducer:
             self.beside[key] = known
         return known
 
+    def forget(self) -> None:
+        """Empties the tables of what was seen; the worker may have other work to do."""
+        self.memo.clear()
+        self.memo.before = {}
+        self.beside, self.beside_before = {}, {}
+
     def _undisturbed(self, a: int, b: int) -> bool:
         """Undo the later of the two seam symbols' merges, again and again; no earlier merge may span the seam."""
         pair, parts, limit = self.pair, self.parts, len(self.bytes)
@@ -253,7 +259,7 @@ class _Memo(dict):
         return packed
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def transducer(source: str) -> Transducer:
     return Transducer(source)
 
@@ -296,6 +302,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, *, ids: bool = False)
                 out.append(pa.array(lists, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
+        t.forget()
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded(documents).select("doc_id", "text").mapInArrow(run, schema)

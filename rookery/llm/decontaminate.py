@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.textarrays import column_bytes, mix, pieces, released, shingles, words
+from rookery.llm.textarrays import bounded, column_bytes, mix, pieces, released, shingles, words
 from rookery.plans.durable import materialize
 
 K = 5
@@ -266,7 +266,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8,
         names = documents.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"at long, item_id {kinds[1]}")
         return documents.select("doc_id", "text").mapInArrow(run, schema).join(F.broadcast(names), "at").select("doc_id", "item_id", "first_word", "n_words", "similarity"), sent
 
-    groups, found = _groups(benchmark, max_items, max_words), None
+    documents, groups, found = bounded(documents), _groups(benchmark, max_items, max_words), None
     for part in groups:
         one, sent = search([(r[0], r[1]) for r in part.select("item_id", "text").collect()])
         if len(groups) > 1:  # one group at a time is held
@@ -291,7 +291,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, *, threshold: float =
 
         return is_clean, sent
 
-    groups = _groups(benchmark, max_items, max_words)
+    documents, groups = bounded(documents), _groups(benchmark, max_items, max_words)
     for part in groups:
         is_clean, sent = clean([(r[0], r[1]) for r in part.select("item_id", "text").collect()])
         documents = documents.where(is_clean("text"))

@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rookery.llm.textarrays import bounded, released
+
 NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
 # Up to the end of a tag: a quote opens only after "=", and only if it closes.
 REST = re.compile(r"((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>")
@@ -344,8 +346,8 @@ def extract_pages(pages: DataFrame, weight: dict[str, float] | None = None) -> D
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             texts = [extract(p.as_py(), weight) for p in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return bounded(pages).select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.textarrays import column_bytes, mix, pieces, released, words
+from rookery.llm.textarrays import bounded, column_bytes, mix, pieces, released, words
 from rookery.plans.durable import materialize
 
 END, START = np.uint64(0xE0D), np.uint64(0x57A27)
@@ -290,7 +290,7 @@ def train(documents: DataFrame, *, head_words: int = 1 << 20, broadcast_bits: in
 
     The model is without filters where these have more than ``broadcast_bits`` bits.
     """
-    docs = documents.where(~held_out(F.col("doc_id"))).select("text")
+    docs = bounded(documents).where(~held_out(F.col("doc_id"))).select("text")
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # Segments become more as the text grows, so none outgrows the task that counts it.
     shift = max(4, math.ceil(math.log2(max(n_bytes / 6, 1) / per_segment + 1)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.textarrays import column_bytes, pieces
+from rookery.llm.textarrays import bounded, column_bytes, pieces
 
 # The classes of bytes, by their members.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "!", "?", "|", "#", "$", "%", "&", "*", "'\"", "()[]{}", "<>/\\", "-_:;@=+"]
@@ -128,7 +128,7 @@ def train(documents: DataFrame, labels: DataFrame, *, most_positive: int = 6000,
     if not prior:
         return nothing
     good = _sample(usable.where("quality = 1").select("doc_id").distinct(), most_positive, "positive").withColumn("positive", F.lit(True))
-    rows = documents.select("doc_id", "text").where(~held_out(F.col("doc_id")))
+    rows = bounded(documents).select("doc_id", "text").where(~held_out(F.col("doc_id")))
     n = rows.select("doc_id").count()
     rows = rows.withColumn("unlabelled", _chosen("unlabelled", most_unlabelled, n)).join(F.broadcast(good), "doc_id", "left").where("positive or unlabelled")
 
@@ -156,7 +156,7 @@ def with_score(documents: DataFrame, model: Model | None) -> DataFrame:
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(sent.value.score(features(texts)))
 
-    return documents.withColumn("_score", score("text"))
+    return bounded(documents).withColumn("_score", score("text"))
 
 
 def score(documents: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:

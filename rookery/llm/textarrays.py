@@ -7,15 +7,18 @@ CHUNK places, which are summed, so two words of up to CHUNK bytes are equal by
 chance once in 2**64 whatever their bytes; the sums of a longer word's chunks are
 mixed with the chunk's number before they are added.  Where equality must be
 exact, ``alike`` compares the bytes behind equal hashes.  Memory is a small multiple of the batch's
-bytes, so callers feed ``pieces`` of about a MB.
+bytes, so callers feed ``pieces`` of half a MB.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK = 32
 _RNG = np.random.default_rng(20240611)
@@ -27,7 +30,8 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-PIECE_BYTES, PIECE_ROWS = 1 << 20, 1 << 11
+PIECE_BYTES, PIECE_ROWS = 1 << 19, 1 << 10
+BATCH_BYTES = 1 << 22
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,10 +70,20 @@ def pieces(offsets: np.ndarray, most: int = PIECE_BYTES, rows: int = PIECE_ROWS)
         a = b
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, of whose session Arrow batches are BATCH_BYTES at most from now on: by rows alone, ten thousand long texts would be one batch."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) != str(BATCH_BYTES):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; what Arrow kept for later goes back to the system when a task ends."""
+    """The same batches; memory kept for later goes back to the system when a task ends, for its worker lives on."""
     yield from batches
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc's
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

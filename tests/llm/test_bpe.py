@@ -72,3 +72,23 @@ def test_documents(spark, library):
         assert r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
     assert encode_documents(docs.limit(0), PATH).collect() == []
+
+
+def test_clashing_columns_and_ids_asked_for(spark, library):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "hello there", "x", 5), (None, None, "y", 6)], "doc_id long, text string, ids string, n_tokens int")
+    rows = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True).collect()
+    assert {r.doc_id: (r.n_tokens, list(r.ids)) for r in rows} == {1: (len(x := library.encode("hello there", add_special_tokens=False).ids), x), None: (0, [])}
+
+
+def test_memory_of_what_was_seen_is_bounded(own, monkeypatch):
+    monkeypatch.setattr("rookery.llm.bpe.MEMO", 50)
+    monkeypatch.setattr("rookery.llm.bpe.BESIDE", 50)
+    own.forget()
+    text = " ".join(f"word{i}x{i * i}" for i in range(2000))
+    a = b"".join(own.encode(text))
+    assert len(own.memo) <= 50 and len(own.memo.before) <= 50 and len(own.beside) <= 50
+    monkeypatch.undo()
+    own.forget()
+    assert b"".join(own.encode(text)) == a
