@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rookery.llm.minhash import _links, _sketch, components, keep_one, near_duplicates, signatures
+from rookery.llm.minhash import _links, _sketch, components, keep_one, merged, near_duplicates, signatures
 from rookery.llm.textarrays import column_bytes, exact
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,6 +108,17 @@ def test_components(spark):
     assert got == {9: 1, 4: 1, 7: 1, 21: 20, 22: 20, **{101 + i: 100 for i in range(30)}} or {k: v for k, v in got.items() if k != v} == {9: 1, 4: 1, 7: 1, 21: 20, 22: 20, **{101 + i: 100 for i in range(30)}}
 
 
+def test_components_grow_by_new_edges(spark):
+    rng = random.Random(4)
+    every = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)]
+    df = lambda e: spark.createDataFrame(e, "a long, b long")
+    known = components(df(every[:40]))
+    for part in (every[40:80], every[80:]):
+        known = merged(known, df(part))
+    whole = {r.id: r.component for r in components(df(every)).collect()}
+    assert {r.id: r.component for r in known.collect()} == whole and known.count() == len(whole)
+
+
 def test_rows_of_null_doc_id_are_kept(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "x y z")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(docs).collect())

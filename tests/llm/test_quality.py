@@ -56,3 +56,15 @@ def test_features_follow_whole_texts_and_not_their_neighbours():
     a = features(pa.array(["ab AB", None, "", "x" * 5_000_000, "ab AB"]))
     assert a.shape == (5, WIDTH) and (a[0] == a[4]).all() and not a[1].any() and not a[2].any()
     assert np.allclose((a[:, :-1] ** 2).sum(1), [1, 0, 0, 1, 1], atol=1e-5)
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    """The query as it is registered, on labels that it may not learn from."""
+    from rookery.llm.queries import op8_quality_classifier
+
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = op8_quality_classifier(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    held = [r for r in rows if r.held_out and r.doc_id in labels]
+    assert len(held) > 50 and np.mean([r.predicted == labels[r.doc_id] for r in held]) >= 0.95

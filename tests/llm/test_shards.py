@@ -69,3 +69,9 @@ def test_few_rows_and_none(spark):
 def test_search_reports_the_capacity(spark):
     groups = spark.createDataFrame([(f"{i:02x}" + "0" * 62, 10 * i + 1) for i in range(40)], "key string, bytes long")
     assert search(groups, 5, items=16)[0] == smallest([10 * i + 1 for i in range(40)], 5)
+
+
+def test_clashing_columns_are_left_alone(spark):
+    docs = spark.createDataFrame([(i, "t" * (i % 5), "k", 1, 2, 3) for i in range(40)], "doc_id long, text string, key string, size int, shard int, slot int")
+    rows = shard_documents(docs).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(40)) and all(r["size"] == r.doc_id % 5 + 1 and 0 <= r.shard < 16 for r in rows)
