@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.textarrays import column_bytes, exact, mix, pieces, released, shingles, words
+from rookery.llm.textarrays import bounded, column_bytes, exact, mix, pieces, released, shingles, words
 from rookery.plans.durable import materialize
 
 BANDS, ROWS = 56, 8
@@ -135,13 +135,13 @@ def signed(documents: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), *sketch, bands], ["doc_id", "n_shingles", "set_id", *names, "bands"])
 
     schema = f"doc_id {kind}, n_shingles long, set_id binary, {', '.join(f'{x} long' for x in names)}, bands array<long>"
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded(documents).select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """What a pair at the threshold must show before its sets are read."""
-    agree = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
-    x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """What the facts of a pair at the threshold must show before its sets are read."""
+    agree = sum((F.bit_count(a[f"s{i}"].bitwiseXOR(b[f"s{i}"])) for i in range(SKETCH_LONGS)), F.lit(0))
+    x, y = a["n_shingles"], b["n_shingles"]
     return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & ((F.least(x, y) < SKETCH_FROM) | (64 * SKETCH_LONGS - agree >= SKETCH_AGREE))
 
 
@@ -215,6 +215,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after more ``edges`` (a, b): only these, between components, are worked off."""
+    ends = edges
+    for c in ("a", "b"):
+        ends = ends.join(labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(c, F.coalesce(f"c{c}", c))
+    new = components(ends.select("a", "b").where("a <> b").distinct())
+    moved = labels.join(new.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return materialize(moved.unionByName(new), "minhash-labels")
+
+
 def _confirmed(likely: DataFrame, texts: DataFrame, k: int, percent: int, broadcast_ids: int) -> DataFrame | None:
     """The pairs (a, b) that are links, None if none is; only texts of these pairs are read."""
     n = likely.count()
@@ -252,7 +262,7 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     posts = materialize(posts.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1), "minhash-prefixes")
     x, y = posts.alias("x"), posts.alias("y")
     shared = F.ceil((F.col("x.size") + F.col("y.size")) * percent / (100 + percent))
-    both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.place") <= F.col("x.size") - shared + 1) & (F.col("y.place") <= F.col("y.size") - shared + 1) & _alike("x.facts", "y.facts", percent))
+    both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.place") <= F.col("x.size") - shared + 1) & (F.col("y.place") <= F.col("y.size") - shared + 1) & _alike(F.col("x.facts"), F.col("y.facts"), percent))
     return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -276,19 +286,18 @@ def near_duplicates(documents: DataFrame, *, k: int = 4, percent: int = 80, broa
 
     def likely(stars: DataFrame) -> DataFrame:
         """Distinct pairs of stars (hub, hub_facts, id, facts) that may be links."""
-        return stars.where(_alike("hub_facts", "facts", percent)).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+        return stars.where(_alike(F.col("hub_facts"), F.col("facts"), percent)).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
 
-    edges = tried = labels = None
+    tried = labels = None
 
     def link(pairs: DataFrame) -> None:
         """Confirms the pairs that were not proposed before and joins what they link."""
-        nonlocal edges, tried, labels
+        nonlocal tried, labels
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = _confirmed(pairs, texts, k, percent, broadcast_ids)
         if found is not None:
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges)
+            labels = components(found) if labels is None else merged(labels, found)
 
     def named(some: DataFrame) -> DataFrame:
         if labels is None:
@@ -312,8 +321,10 @@ def near_duplicates(documents: DataFrame, *, k: int = 4, percent: int = 80, broa
         if round_ == ROUNDS:
             link(prefix_pairs(own.select("id", "component", "facts").dropDuplicates(["id"]), texts, k, percent))
             break
-        stars = own.select("id", "component", "facts", F.explode(F.array("h0", "h1")).alias("h")).where("component <> h.component")
-        link(likely(stars.select(F.col("h.id").alias("hub"), F.col("h.facts").alias("hub_facts"), "id", "facts")))
+        # A member is met only by hubs of other components that it may be linked with.
+        open_ = F.filter(F.array("h0", "h1"), lambda h: (h["component"] != F.col("component")) & _alike(h["facts"], F.col("facts"), percent))
+        stars = own.select("id", F.explode(F.transform(open_, lambda h: h["id"])).alias("hub"))
+        link(stars.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
         left = own.where("id <> h0.id AND id <> h1.id").select("bucket", "id", "facts", "place")
 
     reps = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
