@@ -90,6 +90,18 @@ def with_records(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
     return pairs.join(left, "s1_id").join(right, "cand_id")
 
 
+def cross_features(ns: Column, as_: Column) -> dict[str, Column]:
+    """Of the similarities of names and of addresses."""
+    return {
+        "both_high": _flag((ns > HIGH) & (as_ > HIGH)),
+        "name_high_addr_low": _flag((ns > HIGH) & (as_ <= HIGH)),
+        "name_low_addr_high": _flag((ns <= HIGH) & (as_ > HIGH)),
+        "sim_disagreement": F.abs(ns - as_),
+        "min_field_sim": F.least(ns, as_),
+        "mean_field_sim": (ns + as_) / 2,
+    }
+
+
 def base_features() -> dict[str, Column]:
     l, r = (lambda f: F.col(f"l.{f}")), (lambda f: F.col(f"r.{f}"))  # noqa: E741
     has = lambda c: F.size(c) > 0
@@ -97,7 +109,7 @@ def base_features() -> dict[str, Column]:
     ln, rn = F.char_length(l("norm")), F.char_length(r("norm"))
     lc, rc = F.size(l("tokens")), F.size(r("tokens"))
     name_both, addr_both = (l("norm") != "") & (r("norm") != ""), (l("addr") != "") & (r("addr") != "")
-    ns, as_ = S.jaccard(l("grams"), r("grams")), S.jaccard(l("addr_tokens"), r("addr_tokens"))
+    ns, as_ = S.jaccard_sets(l("grams"), r("grams")), S.jaccard_sets(l("addr_tokens"), r("addr_tokens"))
     return {
         "retrieval_score": F.col("score"),
         "name_exact": _flag((l("norm") == r("norm")) & (l("norm") != "")),
@@ -109,7 +121,7 @@ def base_features() -> dict[str, Column]:
         "name_digits_equal": _flag(l("name_nums") == r("name_nums")),
         "name_digits_conflict": _flag(has(l("name_nums")) & has(r("name_nums")) & (l("name_nums") != r("name_nums"))),
         "name_has_digits_both": _flag(has(l("name_nums")) & has(r("name_nums"))),
-        "name_token_jaccard": S.jaccard(l("tokens"), r("tokens")),
+        "name_token_jaccard": S.jaccard_sets(l("tokens"), r("tokens")),
         "name_token_dice": S.dice(l("tokens"), r("tokens")),
         "name_contain_fwd": S.containment(l("tokens"), r("tokens")),
         "name_contain_rev": S.containment(r("tokens"), l("tokens")),
@@ -121,21 +133,15 @@ def base_features() -> dict[str, Column]:
         "token_count_diff": F.abs(lc - rc),
         "token_count_ratio": S.length_ratio(lc, rc),
         "addr_token_jaccard": as_,
-        "addr_ngram_jaccard": S.jaccard(l("addr_grams"), r("addr_grams")),
-        "addr_numeric_jaccard": S.jaccard(l("addr_nums"), r("addr_nums")),
+        "addr_ngram_jaccard": S.jaccard_sets(l("addr_grams"), r("addr_grams")),
+        "addr_numeric_jaccard": S.jaccard_sets(l("addr_nums"), r("addr_nums")),
         "script_match": _flag(l("script") == r("script")),
         "is_cross_script": _flag((l("script") != r("script")) & (l("script") != "NONE") & (r("script") != "NONE")),
         "addr_missing_either": _flag(~addr_both),
         "addr_missing_both": _flag((l("addr") == "") & (r("addr") == "")),
         "name_missing_either": _flag(~name_both),
         "n_fields_comparable": name_both.cast("int") + addr_both.cast("int"),
-        "both_high": _flag((ns > HIGH) & (as_ > HIGH)),
-        "name_high_addr_low": _flag((ns > HIGH) & (as_ <= HIGH)),
-        "name_low_addr_high": _flag((ns <= HIGH) & (as_ > HIGH)),
-        "sim_disagreement": F.abs(ns - as_),
-        "min_field_sim": F.least(ns, as_),
-        "mean_field_sim": (ns + as_) / 2,
-    }
+    } | cross_features(ns, as_)
 
 
 def extra_features() -> dict[str, Column]:
@@ -146,10 +152,10 @@ def extra_features() -> dict[str, Column]:
         "is_domain_l": _flag(l("stem") != ""),
         "is_domain_r": _flag(r("stem") != ""),
         "is_domain_either": _flag((l("stem") != "") | (r("stem") != "")),
-        "eff_token_jaccard": S.jaccard(l("eff_tokens"), r("eff_tokens")),
+        "eff_token_jaccard": S.jaccard_sets(l("eff_tokens"), r("eff_tokens")),
         "eff_token_contain_fwd": S.containment(l("eff_tokens"), r("eff_tokens")),
         "eff_token_contain_rev": S.containment(r("eff_tokens"), l("eff_tokens")),
-        "translit_token_jaccard": S.jaccard(l("tr_tokens"), r("tr_tokens")),
+        "translit_token_jaccard": S.jaccard_sets(l("tr_tokens"), r("tr_tokens")),
         "translit_token_contain": S.containment(l("tr_tokens"), r("tr_tokens")),
         "addr_contain_fwd": S.containment(l("addr_tokens"), r("addr_tokens")),
         "addr_contain_rev": S.containment(r("addr_tokens"), l("addr_tokens")),
