@@ -46,6 +46,7 @@ SLICE = 1 << 16
 #: Entries of a generation of remembered stretches and of remembered pairs of tokens; two are held.
 MEMO, BESIDE = 1 << 16, 1 << 16
 NONE = -1
+SHORT = (3, 2)
 
 
 def byte_letters() -> dict[str, int]:
@@ -99,9 +100,12 @@ class Transducer:
         self.inner = inner
         self.out = [pack("<I", vocab[b]) for b in self.bytes]
         self.length = [len(b) for b in self.bytes]
-        self.reach: dict[bytes, int] = {}
+        # What lengths tokens of four bytes or more have, by their first four, longest first; any start may have a token of 3 or 2.
+        sizes: dict[bytes, set[int]] = {}
         for b in self.bytes:
-            self.reach[b[:2]] = max(self.reach.get(b[:2], 1), len(b))
+            if len(b) >= 4:
+                sizes.setdefault(b[:4], set()).add(len(b))
+        self.sizes = {b: (*sorted(own, reverse=True), *SHORT) for b, own in sizes.items()}
         self.shorter = [next((inner[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in inner), NONE) for b in self.bytes]
         self.beside: dict[int, bool] = {}
         self.beside_before: dict[int, bool] = {}
@@ -153,42 +157,41 @@ class Transducer:
             else:
                 limit, b = b + 1, parts[b][0]
 
-    def longest(self, data: bytes, at: int) -> int:
-        """The longest token that starts at ``at``, or NONE at the end."""
-        rest = len(data) - at
-        if not rest:
-            return NONE
-        inner = self.inner
-        for k in range(min(rest, self.reach.get(data[at : at + 2], 1)), 1, -1):
-            found = inner.get(data[at : at + k])
-            if found is not None:
-                return found
-        return data[at]
-
     def tokens(self, data: bytes) -> list[int]:
         """The encoding of one stretch, all of it."""
-        whole = self.inner.get(data)
+        inner = self.inner
+        whole = inner.get(data)
         if whole is not None and self._alone(whole):
             return [whole]
         out: list[int] = []
-        length, shorter, follow = self.length, self.shorter, self.may_follow
+        length, shorter, follow, sizes, beside = self.length, self.shorter, self.may_follow, self.sizes, self.beside
         dead: set[int] = set()
-        at, token = 0, self.longest(data, 0)
-        while token != NONE:
-            last = out[-1] if out else NONE
+        at, size, last = 0, len(data), NONE
+        while at < size:
+            # The longest token from here; a slice that the end cuts short is all that is left.
+            for k in sizes.get(data[at : at + 4], SHORT):
+                token = inner.get(data[at : at + k])
+                if token is not None:
+                    break
+            else:
+                token = data[at]
             while True:
                 end = at + length[token]
-                if end not in dead and (last == NONE or follow(last, token)):
-                    out.append(token)
-                    at, token = end, self.longest(data, end)
-                    break
+                if end not in dead:
+                    if last == NONE:
+                        break
+                    fits = beside.get(last << 32 | token)
+                    if follow(last, token) if fits is None else fits:
+                        break
                 token = shorter[token]
-                if token == NONE:
+                while token == NONE:  # none goes on from here: the one before must be shorter
                     dead.add(at)
-                    out.pop()
-                    at -= length[last]
-                    token = last
-                    break
+                    token = out.pop()
+                    at -= length[token]
+                    last = out[-1] if out else NONE
+                    token = shorter[token]
+            out.append(token)
+            last, at = token, end
         return out
 
     def _alone(self, token: int) -> bool:
@@ -250,7 +253,8 @@ class _Memo(dict):
         packed = self.before.get(stretch)
         if packed is None:
             t = self.transducer
-            packed = b"".join([t.out[i] for i in t.stream(stretch.encode())])
+            data = stretch.encode()
+            packed = b"".join(map(t.out.__getitem__, t.tokens(data) if len(data) <= t.window else t.stream(data)))
         if len(stretch) <= 64:
             if len(self) >= MEMO:
                 self.before = dict(self)

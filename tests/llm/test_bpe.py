@@ -92,3 +92,22 @@ def test_memory_of_what_was_seen_is_bounded(own, monkeypatch):
     monkeypatch.undo()
     own.forget()
     assert b"".join(own.encode(text)) == a
+
+
+def test_few_lookups_a_token(library, monkeypatch):
+    """Only lengths that tokens with the same start have are looked up."""
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *key):
+            Counted.n += 1
+            return super().get(*key)
+
+    t = transducer.__wrapped__(open(PATH, encoding="utf-8").read())
+    rng = random.Random(5)
+    words = ["".join(rng.choices(["th", "on", "ing", "er", "ed", "ea", "é", "tion"], k=rng.randint(2, 5))) for _ in range(3000)]
+    monkeypatch.setattr(t, "inner", Counted(t.inner))
+    got = [np.array([np.frombuffer(t.out[i], "<u4")[0] for i in t.tokens(w.encode())]).tolist() for w in words]
+    assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert Counted.n < 3.5 * sum(map(len, got)), Counted.n / sum(map(len, got))
