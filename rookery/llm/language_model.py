@@ -5,8 +5,9 @@ once for each level 1 to q, so its level is read back by probing levels until
 one is missing, and its count is the middle of that level.  The filter is cut
 into segments by the n-gram's hash, each sized by what it holds and built by the
 task that counts the segment, so every n-gram counts at every size.  Up to ``broadcast_bits``
-the filters are broadcast.  Beyond that they stay where they are: chunks of documents send
-their distinct n-grams to the segments and get the levels back, which gives the same scores.
+the filters are broadcast.  Beyond that they stay where they are: chunks of documents (runs of rows
+of CHUNK bytes) send their distinct n-grams to the segments and get the levels back, which gives
+the same scores.  A filter is asked once for each n-gram of a piece, in the order of the segments.
 
 Counting: each task counts its own words and word pairs and sends one packed
 row per segment, so a word that fills the corpus costs a row per task.  Words and pairs are told
@@ -48,6 +49,8 @@ BITS_PER_ENTRY = PROBES / math.log(2)
 K0, K1 = 3.0, 0.85
 #: Counts a task holds before it sends them on.
 FLUSH = 1_000_000
+#: Bytes of text that ask the segments together where the filters are not broadcast.
+CHUNK = 1 << 24
 _SALT = np.random.default_rng(99).integers(1, 2**63, 128, dtype=np.uint64)
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -128,22 +131,33 @@ def build_segment(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.frombuffer(np.uint64(n_bits).tobytes() + np.packbits(bits, bitorder="little").tobytes(), np.uint8)
 
 
+#: ``middle`` of every level that there may be.
+MIDDLE = middle(np.arange(len(_SALT)))
+
+
 def probe(data: np.ndarray, h: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The level of each n-gram whose segment has ``size`` bits from bit ``base`` of ``data``; 0 where it is not held."""
-    out = np.zeros(len(h), np.int64)
+    out = np.zeros(len(h), np.uint8)
     live = np.flatnonzero(size > 0)
+    own, first, wide = h[live], base[live].astype(np.uint64), size[live]
     for level in range(1, len(_SALT)):
         if not len(live):
             break
-        own, first, wide = h[live], base[live], size[live]
-        alive = np.arange(len(live))
         a = mix(own ^ _SALT[level])
-        step, at = (a >> np.uint64(32)) | np.uint64(1), a & np.uint64(0xFFFFFFFF)
+        # 32 bits, whose sums wrap around as the places of ``_places`` do.
+        step, at = (a >> np.uint64(32)).astype(np.uint32) | np.uint32(1), a.astype(np.uint32)
+        kept, f, w, hit = np.arange(len(live)), first, wide, np.ones(len(live), bool)
         for _ in range(PROBES):
-            bit = first[alive] + (((at[alive] & np.uint64(0xFFFFFFFF)) * wide[alive]) >> np.uint64(32)).astype(np.int64)
-            alive = alive[(data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-            at[alive] = at[alive] + step[alive]
-        live = live[alive]
+            bit = at * w
+            bit >>= np.uint64(32)
+            bit += f
+            hit &= (data[(bit >> np.uint64(3)).view(np.int64)] >> (bit.astype(np.uint8) & np.uint8(7))) & np.uint8(1) != 0
+            at += step
+            if 4 * np.count_nonzero(hit) < 3 * len(hit):  # those that are out are taken along as long as they are few
+                kept, f, w, at, step = kept[hit], f[hit], w[hit], at[hit], step[hit]
+                hit = np.ones(len(kept), bool)
+        kept = kept[hit]
+        live, own, first, wide = live[kept], own[kept], first[kept], wide[kept]
         out[live] = level
     return out
 
@@ -151,7 +165,7 @@ def probe(data: np.ndarray, h: np.ndarray, base: np.ndarray, size: np.ndarray) -
 def probe_segment(blob: bytes | None, h: np.ndarray) -> np.ndarray:
     """The levels of n-grams of one packed segment."""
     if not blob:
-        return np.zeros(len(h), np.int64)
+        return np.zeros(len(h), np.uint8)
     size = np.full(len(h), np.frombuffer(blob[:8], np.uint64)[0])
     return probe(np.frombuffer(blob, np.uint8)[8:], h, np.zeros(len(h), np.int64), size)
 
@@ -183,10 +197,10 @@ class Levels:
     """Levels that a chunk was sent for its sorted, distinct n-grams, in place of a filter."""
 
     def __init__(self, h: np.ndarray, level: np.ndarray):
-        self.h, self.of = h, level.astype(np.int64)
+        self.h, self.of = h, level
 
     def level(self, h: np.ndarray) -> np.ndarray:
-        return self.of[np.searchsorted(self.h, h)] if len(h) else np.zeros(0, np.int64)
+        return self.of[np.searchsorted(self.h, h)] if len(h) else np.zeros(0, np.uint8)
 
 
 @dataclass
@@ -206,22 +220,28 @@ class Model:
         own = self.head_count[self.head == END]
         return int(own[0]) if len(own) else 0
 
-    def count(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, whether it is exact): exact for head words, the filter's for others."""
+    def in_head(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each token is a head word, which one)."""
         at = np.searchsorted(self.head, token)
         at[at == len(self.head)] = 0
-        known = self.head[at] == token if len(self.head) else np.zeros(len(token), bool)
+        return self.head[at] == token if len(self.head) else np.zeros(len(token), bool), at
+
+    def count(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, whether it is exact): exact for head words, the filter's for others."""
+        token, back = np.unique(token, return_inverse=True)
+        known, at = self.in_head(token)
         out = np.zeros(len(token))
         out[known] = self.head_count[at[known]]
-        out[~known] = middle(self.words.level(token[~known]))
-        return out, known
+        out[~known] = MIDDLE[self.words.level(token[~known])]
+        return out[back], known[back]
 
     def log10(self, token: np.ndarray, prev: np.ndarray, count: np.ndarray, prev_count: np.ndarray) -> np.ndarray:
         """log10 probability of each token after the one before it."""
         single = (count + 1) / (self.n + self.v + 1)
         both = np.zeros(len(token))
         ask = prev_count > 0
-        both[ask] = middle(self.pairs.level(pairs_of(prev[ask], token[ask])))
+        pair, back = np.unique(pairs_of(prev[ask], token[ask]), return_inverse=True)
+        both[ask] = MIDDLE[self.pairs.level(pair)][back]
         both = np.minimum(both, prev_count)
         k = K0 * np.maximum(prev_count, 1) ** K1
         return np.log10((both + k * single) / (prev_count + k))
@@ -358,47 +378,83 @@ def _joined(documents: DataFrame, sent, filters: DataFrame, shift: int, scored,
     kind_of_id = documents.schema["doc_id"].dataType.simpleString()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
+        chunk, place, size = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            for a, b in pieces(column_bytes(batch.column("text"))[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, chunk)), *(batch.column(c).slice(a, b - a) for c in ("doc_id", "text"))], ["chunk", "doc_id", "text"])
-                chunk += 1
-
-    def wanted(m: Model, texts: pa.Array) -> dict[int, np.ndarray]:
-        """The sorted, distinct n-grams that a chunk's texts ask for."""
-        token, row = token_rows(*column_bytes(texts))
-        return {WORD: np.setdiff1d(token, m.head), PAIR: np.unique(pairs_of(before(token, row), token))}
+            offsets = column_bytes(batch.column("text"))[1]
+            for a, b in pieces(offsets):
+                if size >= CHUNK:
+                    chunk, place, size = chunk + 1, 0, 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, chunk)), pa.array(np.arange(place, place + b - a)), *(batch.column(c).slice(a, b - a) for c in ("doc_id", "text"))], ["chunk", "place", "doc_id", "text"])
+                place, size = place + b - a, size + int(offsets[b] - offsets[a])
+
+    def wanted(m: Model, texts: pa.Array) -> dict[int, list[np.ndarray]]:
+        """Sorted, distinct n-grams that texts ask for, by pieces."""
+        raw, offsets = column_bytes(texts)
+        held: dict[int, list[np.ndarray]] = {WORD: [], PAIR: []}
+        for a, b in pieces(offsets):
+            token, row = token_rows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            word = np.unique(token)
+            held[WORD].append(word[~m.in_head(word)[0]])
+            held[PAIR].append(np.unique(pairs_of(before(token, row), token)))
+        return held
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Where reading parts a chunk, its runs of rows ask for themselves; ``first`` tells them apart.
         m = sent.value
-        for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            cuts = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)] if len(chunk) else np.zeros(1, np.int64)
+        held: dict[int, list[np.ndarray]] = {WORD: [], PAIR: []}
+        own = first = upto = -1
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                parts.clear()
+                has, cut = by_segment(h, shift)
+                if len(has):
+                    ends = np.array([x for x, _ in cut] + [len(h)], np.int32) * 8
+                    blobs = pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(h)])
+                    fixed = [pa.array(np.full(len(has), x)) for x in (own, first, upto)]
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.full(len(has), kind, np.int32)), pa.array(has), blobs], ["chunk", "first", "upto", "kind", "segment", "hashes"])
+
+        for batch in released(batches):
+            chunk, place = batch.column("chunk").to_numpy(), batch.column("place").to_numpy()
+            cuts = np.r_[0, np.flatnonzero((chunk[1:] != chunk[:-1]) | (place[1:] != place[:-1] + 1)) + 1, len(chunk)] if len(chunk) else np.zeros(1, np.int64)
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                for kind, h in wanted(m, batch.column("text").slice(lo, hi - lo)).items():
-                    has, cut = by_segment(h, shift)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), chunk[lo])), pa.array(np.full(len(has), kind, np.int32)), pa.array(has), pa.array([h[x:y].tobytes() for x, y in cut], pa.binary())], ["chunk", "kind", "segment", "hashes"])
+                if (chunk[lo], place[lo]) != (own, upto):
+                    yield from flush()
+                    own, first = int(chunk[lo]), int(place[lo])
+                upto = int(place[hi - 1]) + 1
+                for kind, parts in wanted(m, batch.column("text").slice(lo, hi - lo)).items():
+                    held[kind] += parts
+        yield from flush()
 
     def answer(key, asked: pa.Table, bits: pa.Table) -> pa.Table:
         blobs = asked["hashes"].to_pylist()
         h = np.frombuffer(b"".join(blobs), np.uint64)
         blob = bits["bits"].to_pylist()
-        level = probe_segment(blob[0] if blob else None, h).astype(np.uint8).tobytes()
+        level = probe_segment(blob[0] if blob else None, h).tobytes()
         ends = np.cumsum([len(x) // 8 for x in blobs]).tolist()
-        return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "segment": asked["segment"], "levels": pa.array([level[e - len(x) // 8 : e] for x, e in zip(blobs, ends, strict=True)], pa.binary())})
+        out = asked.drop_columns(["hashes"])
+        return out.append_column("levels", pa.array([level[e - len(x) // 8 : e] for x, e in zip(blobs, ends, strict=True)], pa.binary()))
 
     def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = docs.sort_by("place").combine_chunks()
+        place, out = docs["place"].to_numpy(), []
         # In order of segments the answers are in order of the n-grams asked for.
-        answers, held = answers.sort_by([("kind", "ascending"), ("segment", "ascending")]), {}
-        kind = answers["kind"].to_numpy()
-        for k, h in wanted(sent.value, docs["text"]).items():
-            held[k] = Levels(h, np.frombuffer(b"".join(answers["levels"].filter(pa.array(kind == k)).to_pylist()), np.uint8))
-        m = replace(sent.value, pairs=held[PAIR], words=held[WORD])
-        return pa.Table.from_batches([x for batch in docs.combine_chunks().to_batches() for x in scored(m, batch)])
-
-    chunks = materialize(documents.select("doc_id", "text").mapInArrow(number, f"chunk long, doc_id {kind_of_id}, text string"), "language-chunks")
-    asked = chunks.mapInArrow(ask, "chunk long, kind int, segment int, hashes binary")
-    answers = asked.groupBy("kind", "segment").cogroup(filters.groupBy("kind", "segment")).applyInArrow(answer, "chunk long, kind int, segment int, levels binary")
+        answers = answers.sort_by([("first", "ascending"), ("kind", "ascending"), ("segment", "ascending")])
+        begin, kind, end = (answers[c].to_numpy() for c in ("first", "kind", "upto"))
+        for lo in np.unique(begin):
+            a, b = np.searchsorted(place, [lo, end[begin == lo][0]])
+            own, held = docs.slice(a, b - a), {}
+            for k, parts in wanted(sent.value, own["text"]).items():
+                levels = b"".join(answers["levels"].filter(pa.array((kind == k) & (begin == lo))).to_pylist())
+                held[k] = Levels(np.unique(np.concatenate(parts)), np.frombuffer(levels, np.uint8))
+            m = replace(sent.value, pairs=held[PAIR], words=held[WORD])
+            out += [x for batch in own.to_batches() for x in scored(m, batch)]
+        return pa.Table.from_batches(out)
+
+    chunks = materialize(documents.select("doc_id", "text").mapInArrow(number, f"chunk long, place long, doc_id {kind_of_id}, text string"), "language-chunks")
+    asked = chunks.mapInArrow(ask, "chunk long, first long, upto long, kind int, segment int, hashes binary")
+    answers = asked.groupBy("kind", "segment").cogroup(filters.groupBy("kind", "segment")).applyInArrow(answer, "chunk long, first long, upto long, kind int, segment int, levels binary")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
 
 

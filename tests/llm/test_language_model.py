@@ -69,6 +69,23 @@ def test_scores_are_the_same_where_filters_are_joined(spark, head):
     assert joined == whole and len(whole) == len(rows)
 
 
+def test_chunks_that_batches_part_keep_their_scores(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 60)) % 900)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    whole = {r.doc_id: r for r in score(docs).collect()}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        joined = {r.doc_id: r for r in score(docs, head_words=40, broadcast_bits=0).collect()}
+        assert {i: r.n_known for i, r in joined.items()} == {i: r.n_known for i, r in whole.items()}
+        spark.conf.set(key, before)
+        assert joined == {r.doc_id: r for r in score(docs, head_words=40).collect()}
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_head_words_take_no_place_in_the_filter(spark):
     model = train(spark.createDataFrame([(i, "a b c d") for i in range(20)], "doc_id long, text string"))[0]
     assert len(model.head) == 5 and not model.words.bits.any()
