@@ -1,5 +1,6 @@
 """Hand-checked cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,8 +208,6 @@ def test_running_sums_equal_a_window(spark, by):
 
 def test_search_equals_brute_force_with_long_lists(spark):
     """Also where the bound lets long lists go and where documents come in many blocks."""
-    import numpy as np
-
     rng = np.random.default_rng(3)
     common = ["the", "and", "of"]
     texts = [[*common[: rng.integers(1, 4)], *(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(2, 9)) % 3000)] for _ in range(2600)]
@@ -337,3 +336,30 @@ def test_streams(spark, tmp_path):
     rates = candidate_rates(spark.readStream.schema("at timestamp, score double").parquet(f"{tmp_path}/scores"), "at")
     rates.writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", f"{tmp_path}/rates").trigger(availableNow=True).start().awaitTermination()
     assert [(r.n_pairs, r.best) for r in spark.table("rates").orderBy("start").collect()] == [(10, 9.0), (10, 19.0), (10, 29.0)]
+
+
+def test_search_asks_seldom_whether_long_lists_matter(monkeypatch):
+    n, m = 5000, 40
+    rng = np.random.default_rng(3)
+    weights = rng.random((n, m)) + 0.01
+    weights /= np.sqrt((weights**2).sum(1, keepdims=True))
+    lists = tfidf.Lists(np.tile(np.arange(m), n), np.full(n, m), weights.ravel())
+    asked, real = [], np.partition
+    monkeypatch.setattr(tfidf.np, "partition", lambda *a: asked.append(1) or real(*a))
+    q = weights[17]
+    docs, score = lists.best(np.arange(m), q, 10, 6)
+    want = np.floor(weights @ q * 1e6 + 0.5) / 1e6
+    order = np.lexsort((np.arange(n), -want))[:10]
+    assert docs.tolist() == order.tolist() and score == pytest.approx(want[order])
+    assert len(asked) <= 12
+
+
+def test_search_meets_copies_once(spark, monkeypatch):
+    text = lambda i: ["a", "b", "c"][: 1 + i % 3]
+    rows = [(i, "p", t, 1 / len(text(i)) ** 0.5) for i in range(60) for t in text(i)]
+    q = spark.createDataFrame(rows, "id long, part string, term string, w double")
+    assert tfidf._classes(tfidf.packed(q)).count() == 3
+    got = {(r.q, r.d): r.score for r in tfidf.cosine_search(q, q, 25).collect()}
+    score = lambda i, j: round(len({*text(i)} & {*text(j)}) / (len(text(i)) * len(text(j))) ** 0.5, 6)
+    want = {(i, j): score(i, j) for i in range(60) for j in sorted(range(60), key=lambda j: (-score(i, j), j))[:25]}
+    assert got == pytest.approx(want) and got.keys() == want.keys()
