@@ -208,6 +208,8 @@ def test_running_sums_equal_a_window(spark, by):
 
 def test_search_equals_brute_force_with_long_lists(spark):
     """Also where the bound lets long lists go and where documents come in many blocks."""
+    import numpy as np
+
     rng = np.random.default_rng(3)
     common = ["the", "and", "of"]
     texts = [[*common[: rng.integers(1, 4)], *(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(2, 9)) % 3000)] for _ in range(2600)]
@@ -363,3 +365,27 @@ def test_search_meets_copies_once(spark, monkeypatch):
     score = lambda i, j: round(len({*text(i)} & {*text(j)}) / (len(text(i)) * len(text(j))) ** 0.5, 6)
     want = {(i, j): score(i, j) for i in range(60) for j in sorted(range(60), key=lambda j: (-score(i, j), j))[:25]}
     assert got == pytest.approx(want) and got.keys() == want.keys()
+
+
+def test_cosines_of_pairs_in_any_blocks(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"{s}{i}", p, f"t{int(t)}", float(w)) for s in "qd" for p in ("x", "y") for i in range(25) for t, w in zip(rng.permutation(12)[:4], rng.random(4) + 0.1)]
+    vectors = spark.createDataFrame(rows, "id string, part string, term string, w double")
+    q, d = (tfidf.packed(vectors.where(F.col("id").startswith(s))) for s in "qd")
+    pairs = [(p, f"q{i}", f"d{j}", i * j) for p in ("x", "y", "z") for i in range(27) for j in range(0, 27, 2)]
+    weight = {r[:3]: r[3] for r in rows}
+    terms = {r[2] for r in rows}
+    want = sorted((*r, round(sum(weight.get((r[1], r[0], t), 0) * weight.get((r[2], r[0], t), 0) for t in terms), 6)) for r in pairs)
+    asked = spark.createDataFrame(pairs, "part string, q string, d string, n int")
+    for options in ({}, {"block_queries": 4, "block_docs": 7}):
+        got = tfidf.cosine_pairs(asked, q, d, "cos", **options)
+        assert got.columns == [*asked.columns, "cos"]
+        assert [(*r[:4], pytest.approx(r[4], abs=1.1e-6)) for r in want] == sorted(map(tuple, got.collect()))
+
+
+def test_no_vector_goes_along_with_each_pair(spark):
+    one = [("x", "p", f"t{t}", 0.1) for t in range(100)]
+    vectors = tfidf.packed(spark.createDataFrame(one, "id string, part string, term string, w double"))
+    asked = spark.range(5).select(F.lit("p").alias("part"), F.lit("x").alias("q"), F.lit("x").alias("d"))
+    plan = tfidf.cosine_pairs(asked, vectors, vectors, "cos")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "aggregate(" not in plan
